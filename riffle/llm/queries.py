@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, sharding, simhash_vptree
+from . import ann_permutation, embedding_ego, mixing, secrets, sentencepiece, sharding, simhash_vptree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
     law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
@@ -41,6 +45,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_permutation.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_ego.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def _by_start(x, y):
     order = F.array(*[F.lit(k) for k in secrets.KINDS])
     rank = lambda s: s["start"] * 8 + F.array_position(order, s["kind"])
@@ -50,8 +62,11 @@ def _by_start(x, y):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op3_source_mix": op3_source_mix,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_feistel_shards": op5_feistel_shards,
     "op6_secret_scan": op6_secret_scan,
+    "op7_permutation_index": op7_permutation_index,
+    "op10_ego_join": op10_ego_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
