@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_permutation, embedding_ego, mixing, secrets, sentencepiece, sharding, simhash_vptree
+from . import ann_permutation, embedding_ego, html_tree, lm_pitman_yor, mixing, quality_gam, secrets, sentencepiece, sharding, simhash_vptree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -49,6 +53,14 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_permutation.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_ego.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -61,11 +73,14 @@ def _by_start(x, y):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vptree": op1_simhash_vptree,
+    "op2_pitman_yor_lm": op2_pitman_yor_lm,
     "op3_source_mix": op3_source_mix,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_feistel_shards": op5_feistel_shards,
     "op6_secret_scan": op6_secret_scan,
     "op7_permutation_index": op7_permutation_index,
+    "op8_quality_gam": op8_quality_gam,
+    "op9_html_tree": op9_html_tree,
     "op10_ego_join": op10_ego_join,
 }
 
