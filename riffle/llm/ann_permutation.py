@@ -117,7 +117,11 @@ def _search_dim(vectors: DataFrame, asked: DataFrame, dim: int, k: int, share: f
         return pd.DataFrame({"group": [key[0]], "q_ids": [f["vec_id"].to_numpy(np.int64).tobytes()], "q": [x.tobytes()], "q_places": [places(x, piv).tobytes()]})
 
     packed = queries.groupBy("group").applyInPandas(pack_group, "group int, q_ids binary, q binary, q_places binary")
-    meet = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(packed, "group")
+    # Salted, so that a task gets a few index blocks and one block of queries.
+    salts = max(1, n // (4 * BLOCK))
+    spread = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = index.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    meet = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(spread, ["group", "salt"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -128,4 +132,4 @@ def _search_dim(vectors: DataFrame, asked: DataFrame, dim: int, k: int, share: f
                 got = search_block(q_ids, q, q_places, ids, x, posted, k, share)
                 yield pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
 
-    return meet.drop("group").mapInPandas(run, "query_id long, vec_id long, score double")
+    return meet.drop("group", "salt").mapInPandas(run, "query_id long, vec_id long, score double")

@@ -42,18 +42,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the graph of edges (a, b); component is its smallest node.
 
     Randomised contraction: each round maps every node to the neighbour (or itself)
-    whose hash is least, under a hash that changes by round, and relabels the edges.
-    The expected number of nodes falls by a constant factor whatever the graph's shape,
-    so chains take logarithmically many rounds; every step is a join or a min
-    aggregate, so hubs are combined before they are shuffled.
+    whose hash is least and relabels the edges. Hashes put the nodes in random order, so
+    chains shrink by a constant factor a round, and a star is gone after two. Every step
+    is an inner join or a min aggregate: hubs are combined before they are shuffled.
     """
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
     left = staged(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges"
     )
-    labels, turn = None, 0
+    labels = None
     while not left.isEmpty():
-        turn += 1
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
         both = left.select(F.col("a").alias("node"), rank("b").alias("r")).unionAll(
             left.select(F.col("b").alias("node"), rank("a").alias("r"))
         )

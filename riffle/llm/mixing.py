@@ -82,16 +82,17 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     return budgets.select("source", F.lit(-1).cast("long").alias("threshold")).limit(0) if done is None else done
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, share: float = 1.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies) for each row of docs.
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, h), staged: what the mix reads again and again, without the texts."""
+    return staged(docs.select("doc_id", "source", word_count().alias("size"), doc_hash().alias("h")), "mix")
 
-    size is the text's number of words (null: 0), copies how often the mix takes the
-    document, taken = size * copies. Null sources form a source of their own, the last.
-    Rows that share a doc_id share a hash and are taken alike; an empty table gives no
-    rows; a source without words has target 0. The result depends on the rows alone.
-    """
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    slim = staged(docs.select("doc_id", "source", words.alias("size"), doc_hash().alias("h")), "mix")
+
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def source_plan(slim: DataFrame, weights: Sequence[int], cap: int, share: float) -> DataFrame:
+    """One row for each source: (p_source, source_size, target, whole, threshold)."""
     totals = staged(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = staged(
@@ -104,8 +105,33 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, share
     plan = targets.join(bounds, F.col("source").eqNullSafe(F.col("b_source")), "left").select(
         F.col("source").alias("p_source"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(-1)).alias("threshold")
     )
-    copies = F.col("whole") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)
-    return slim.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"),
-    )
+    return staged(plan, "mix-plan")
+
+
+def _copies() -> Column:
+    return (F.col("whole") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, share: float = 1.0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, copies) for each row of docs.
+
+    size is the text's number of words (null: 0), copies how often the mix takes the
+    document, taken = size * copies. Null sources form a source of their own, the last.
+    Rows that share a doc_id share a hash and are taken alike; an empty table gives no
+    rows; a source without words has target 0. The result depends on the rows alone.
+    """
+    slim = sizes(docs)
+    plan = source_plan(slim, weights, cap, share)
+    both = slim.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("copies", _copies())
+    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def resample(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, share: float = 1.0) -> DataFrame:
+    """docs, all columns, with each row as often as mix() takes it, 0 to cap times. The
+    plan, a row for each source, meets the documents where they are read. Documents
+    without words, which no budget counts, are taken with the rest of their hash range."""
+    plan = source_plan(sizes(docs), weights, cap, share).drop("source_size", "target")
+    names = docs.columns
+    both = docs.withColumn("_doc", F.struct(*names)).select("_doc", F.col("source").alias("_source"), doc_hash().alias("h"))
+    taken = both.join(plan, F.col("_source").eqNullSafe(F.col("p_source"))).withColumn("copies", _copies()).where("copies > 0")
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select([F.col("_doc")[n].alias(n) for n in names])

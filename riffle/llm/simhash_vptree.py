@@ -217,3 +217,16 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return marked.join(named, "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+    """docs, all columns, with one document of each component of near_duplicates(): that
+    with the least doc_id. Of rows that share a doc_id one stays; rows without stay all."""
+    found = staged(near_duplicates(docs, width).select("doc_id", "component_id"), "simhash-found")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
