@@ -1,0 +1 @@
+"""Content analytics on Spark DataFrames."""
