@@ -224,7 +224,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     with the least doc_id. Of rows that share a doc_id one stays; rows without stay all."""
     found = staged(near_duplicates(docs, width).select("doc_id", "component_id"), "simhash-found")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # The ids to drop grow with the corpus, so they are dealt with the documents at every
+    # size and hashed; the documents, the large side, are neither sorted nor broadcast to.
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
