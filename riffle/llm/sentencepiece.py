@@ -29,7 +29,7 @@ UNKNOWN_PENALTY = 10.0
 #: Chunks of more bytes than this are solved one by one.
 LONG = 64
 #: Distinct chunks that a task keeps before it starts anew; characters it takes at once.
-KEEP, SLICE = 400_000, 2_000_000
+KEEP, SLICE = 150_000, 1_000_000
 
 
 class DoubleArray:
