@@ -75,6 +75,11 @@ def word_overlap(a: Column, b: Column) -> Column:
     return jaccard(title_words(a), title_words(b))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end; trim takes blanks alone."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def strip_possessive(c: Column) -> Column:
     return F.regexp_replace(c, "['’]s$", "")
 
@@ -109,8 +114,7 @@ def strip_reasoning(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?s)^.*?<\|channel\|>final<\|message\|>", "")
     c = F.regexp_replace(c, r"(?is)<think>.*?</think>", "")
     c = F.regexp_replace(c, r"(?is)<think>.*$", "")
-    c = F.regexp_replace(c, r"(?i)```(?:json)?", "")
-    return F.trim(c)
+    return strip(F.regexp_replace(c, r"(?i)```(?:json)?", ""))
 
 
 def subreddit_of(c: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riffle.functions.text import strip
+
 SOURCE_TYPES = ("media", "steam", "reddit")
 LANGUAGES = ("es", "en")
 CATEGORIES = ("lanzamiento", "actualizacion", "rumor", "analisis")
@@ -34,7 +36,7 @@ DIGEST = T.StructType([T.StructField("generated_at", _S), T.StructField("total",
 
 def optional_text(c: Column) -> Column:
     """Trimmed; empty becomes null."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def is_http(c: Column) -> Column:
