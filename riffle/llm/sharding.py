@@ -72,7 +72,8 @@ def number_rows(df: DataFrame, keys: list[str], name: str = "row_no") -> DataFra
     """
     n = df.count()
     parts = max(1, -(-n // RANGE), min(64, n // 20_000))
-    dealt = staged(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranges")
+    order_by = [F.col(k).asc_nulls_last() for k in keys]
+    dealt = staged(df.repartitionByRange(parts, *order_by).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_part").count()
     # One row for each range: a list of at most rows / RANGE numbers.
     firsts = {r["_part"]: r["count"] for r in sizes.collect()}
@@ -80,7 +81,7 @@ def number_rows(df: DataFrame, keys: list[str], name: str = "row_no") -> DataFra
     for p in sorted(firsts):
         start[p], total = total, total + firsts[p]
     offset = F.create_map(*[F.lit(x) for kv in (start or {0: 0}).items() for x in kv])
-    order = Window.partitionBy("_part").orderBy(*[F.col(k).asc_nulls_last() for k in keys])
+    order = Window.partitionBy("_part").orderBy(*order_by)
     return dealt.withColumn(name, F.element_at(offset, F.col("_part")).cast("long") + F.row_number().over(order) - F.lit(1)).drop("_part")
 
 
