@@ -291,11 +291,11 @@ def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
 _SIG = f""", raw AS (SELECT pos, {S.normal_url('url')} AS url, CASE WHEN game = 'g1' THEN 'one' WHEN game = 'g10' THEN 'ten' ELSE lower(trim(game)) END AS game_key, published_at AS ts,
     {S.keywords("title || ' ' || body_text", PACK.stop, PACK.noise, PACK.events)} AS kw, {S.title_words('title')} AS tw, {S.entities('title', 'body_text', 'game', PACK.entity_stop)} AS en FROM items),
   sig AS (SELECT *, row_number() OVER (ORDER BY ts DESC, pos) AS o FROM raw),
-  edges AS (SELECT x.pos AS a, y.pos AS b, x.o AS oa, y.o AS ob FROM sig x JOIN sig y ON x.game_key = y.game_key AND x.o < y.o
+  edges AS (SELECT x.pos AS a, y.pos AS b, x.o AS oa, y.o AS ob, x.game_key = y.game_key AS same_game FROM sig x JOIN sig y ON x.game_key = y.game_key AND x.o < y.o
     WHERE x.url = y.url OR (x.ts - y.ts <= INTERVAL 48 HOUR AND ({S.jaccard('x.kw', 'y.kw')} >= 0.40 OR {S.jaccard('x.tw', 'y.tw')} >= 0.45 OR ({S.jaccard('x.tw', 'y.tw')} >= 0.25 AND {S.jaccard('x.en', 'y.en')} >= 0.50))))"""
 
 
-@query(_with(f"{_SIG} SELECT a, b FROM edges"))
+@query(_with(f"{_SIG} SELECT a, b FROM edges WHERE same_game"))
 def story_edges(spark: SparkSession, d: str) -> DataFrame:
     return cluster.story_edges(cluster.written(cluster.signatures(items_view(spark, d), PACK), "story-signatures"))
 

@@ -69,8 +69,12 @@ def test_leaders_equal_the_greedy_loop(spark, seed):
     rank = {x: i for i, x in enumerate(order)}
     pairs = {tuple(sorted(rng.sample(range(n), 2), key=rank.get)) for _ in range(60)}
     edges = spark.createDataFrame([(a, b, rank[a]) for a, b in pairs], "a long, b long, rank long")
-    got = cluster.leaders(edges, spark.createDataFrame([(i,) for i in range(n)], "pos long"))
-    assert {r.pos: r.leader for r in got.collect()} == _greedy(order, pairs)
+    groups = [rng.sample(range(n), k) for k in (5, 3)] if seed else []
+    alike = {tuple(sorted((x, y), key=rank.get)) for g in groups for x in g for y in g if x != y}
+    grouped = spark.createDataFrame([(x, str(i), rank[x]) for i, g in enumerate(groups) for x in g if not any(x in h for h in groups[:i])], "pos long, grp string, rank long")
+    alike = {(x, y) for x, y in alike if any(x in g and y in g and not any(x in h or y in h for h in groups[:i]) for i, g in enumerate(groups))}
+    got = cluster.leaders(edges, spark.createDataFrame([(i,) for i in range(n)], "pos long"), grouped)
+    assert {r.pos: r.leader for r in got.collect()} == _greedy(order, pairs | alike)
 
 
 def test_stories_are_not_transitive_and_respect_the_window(spark):
