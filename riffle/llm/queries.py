@@ -84,4 +84,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ego_join": op10_ego_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS h FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+  w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, CAST(sum(source_size) OVER () AS DOUBLE) AS budget FROM s),
+  o AS (SELECT *, coalesce(CAST(sum(3 * source_size) OVER before AS DOUBLE), 0.0) AS capped, CAST(sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS DOUBLE) AS open_weight
+    FROM w WINDOW before AS (ORDER BY CAST(3 * source_size AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  f AS (SELECT *, w * ((budget - capped) / open_weight) <= 3 * source_size AS fits FROM o),
+  l AS (SELECT min(capped) AS c, max(open_weight) AS ow FROM f WHERE fits),
+  t AS (SELECT source, source_size, CASE WHEN l.c IS NULL OR (capped < l.c AND NOT fits) THEN CAST(3 * source_size AS DOUBLE)
+    ELSE least(CAST(3 * source_size AS DOUBLE), w * ((budget - l.c) / l.ow)) END AS target FROM f, l),
+  k AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS whole FROM t),
+  r AS (SELECT *, target - whole * source_size AS rest FROM k),
+  g AS (SELECT source, h, sum(size) AS tokens FROM d GROUP BY source, h),
+  u AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
+  b AS (SELECT u.source, arg_min(CASE WHEN upto - rest < rest - (upto - tokens) THEN h ELSE h - 1 END, h) AS threshold
+    FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.source WHERE rest > 0 AND upto >= rest GROUP BY u.source)
+SELECT d.doc_id, d.size, r.source_size, r.target, CAST(d.size * (r.whole + CASE WHEN d.h <= coalesce(b.threshold, -1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
+"""
+
+_OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+  reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+  least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+  n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least ON least.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id
+"""
+
+#: The others need hashes, trees, models or positions that SQL lacks; tests/llm holds them against plain versions.
+ORACLE_SQL: dict[str, str] = {"op3_source_mix": _OP3_SQL, "op10_ego_join": _OP10_SQL}
