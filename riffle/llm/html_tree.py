@@ -32,6 +32,7 @@ _KINDS = {
     "form": "form fieldset select textarea button input label option",
 }
 KIND = {tag: kind for kind, tags in _KINDS.items() for tag in tags.split()}
+_WHOLE = frozenset(("article", "main", "body", "html"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown.
 _HIDDEN = frozenset("head script style noscript template svg iframe object canvas audio video math".split())
@@ -130,7 +131,8 @@ class Dom:
                 continue
             self.parent.append(stack[-1][1])
             self.kind.append(KIND.get(tag, "inline"))
-            self.hint.append(_hint(m[3]))
+            # What an article or the whole page is called tells of its parts (has-comments), not against it.
+            self.hint.append(max(_hint(m[3]), 0) if tag in _WHOLE else _hint(m[3]))
             self.label.append(x[1] if (x := _LABEL.search(m[3])) else "")
             self.chars.append(0)
             self.linked.append(0)

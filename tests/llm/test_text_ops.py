@@ -203,6 +203,8 @@ HTML = [
     ("<article><p>Kept text.</p><aside>Side box</aside><div id=cookie-notice>We use cookies</div><div class=\"share-buttons\">Share</div><p>End&nbsp;here.</p></article>", "Kept text.\nEnd here."),
     ("<div class=sidebar><ul><li><a href=1>One</a></li></ul></div><div class=content><p>Short.</p><ul><li>first point</li><li>second point</li></ul></div>", "Short.\nfirst point\nsecond point"),
     ("<!-- <p>no</p> --><article><p>x &lt;y&gt; &#233;</p><style>p{}</style></article><div class=ad>Buy now</div>", "x <y> é"),
+    ("<body class='single comments-open'><article class='post has-comments'><h2>Head line</h2><p>Words of the story.</p><table><tr><td>a<td>b</table></article><section id=comments><h3>Replies</h3><p>first!</p></section>", "Head line\nWords of the story.\na\nb"),
+    ("<article><ul><li>one<li>two<ul><li>inner</ul></ul><blockquote>quote <i>it</i></blockquote><pre>x\n  y</pre>tail</article>", "one\ntwo\ninner\nquote it\nx y\ntail"),
     ("", ""), (None, ""), ("<nav><a href=x>only menu</a></nav>", ""), ("<article><p>cut &am", "cut &am"),
 ]
 
