@@ -22,6 +22,7 @@ from riffle.functions.markup import model_object
 from riffle.functions.text import clean_name, strip_reasoning
 from riffle.functions.urls import stable_id
 from riffle.schema import CATEGORIES, ITEMS, LANGUAGES, in_enum
+from riffle.sources.web import retry_delay
 
 from .joins import cache_misses, with_cache
 from .tables import written
@@ -93,6 +94,52 @@ def check(raw: str, source_type: str) -> dict:
     return got
 
 
+@dataclass
+class Chat:
+    """Provider over a chat endpoint; post(payload) returns (status, headers, text).
+
+    Bad answers are asked for again; a 429 waits as long as its headers say; a 400 that
+    complains of the schema turns the schema off for good; a failed connection, status 0,
+    and any other status end in Unreachable.
+    """
+
+    post: Callable[[dict], tuple[int, dict[str, str], str]]
+    model: str
+    limiter: Limiter | None = None
+    attempts: int = 3
+    waits: int = 5
+    schema: bool = True
+    sleep: Callable[[float], None] = time.sleep
+
+    def payload(self, title: str, body: str, language: str | None, game: str, source_type: str) -> dict:
+        text = f"Answer with one JSON object with summary, relevance, category, language and game.\nGame: {game}\nTitle: {title}\nText: {body[:800]}"
+        out = {"model": self.model, "messages": [{"role": "user", "content": text}]}
+        return out | {"response_format": {"type": "json_object"}} if self.schema else out
+
+    def answer(self, title: str, body: str, language: str | None, game: str, source_type: str) -> str:
+        row, waits, bad = (title, body, language, game, source_type), 0, 0
+        while True:
+            load = self.payload(*row)
+            if self.limiter:
+                self.limiter.wait(len(str(load)) // 3 + 320)
+            status, headers, text = self.post(load)
+            if status == 200:
+                try:
+                    check(strip_py(text), source_type)
+                    return text
+                except BadOutput:
+                    bad += 1
+                    if bad >= self.attempts:
+                        raise
+            elif status == 429 and waits < self.waits:
+                waits += 1
+                self.sleep(retry_delay(headers))
+            elif status == 400 and self.schema:
+                self.schema = False
+            else:
+                raise Unreachable(f"status {status}")
+
+
 @dataclass
 class Fallback:
     """Two providers and the state that chooses: bad answers in a row, or an unreachable local one, switch for good."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from riffle.domain import DomainPack, Rule
 from riffle.functions import dates, markup, text, urls
 from riffle.operators import cluster, dedup, filters, joins, reports, topic, topk
+from riffle.operators.tables import shared_dir
+from riffle.schema import raw_reject_reason
+from riffle.streaming import items as stream
 
 from . import sqltext as S
 from .items_view import ITEMS_SQL, NOW, items_view, now, table
@@ -416,3 +420,72 @@ def lineitem_summary(spark: SparkSession, d: str) -> DataFrame:
 def stagger(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("source").orderBy("doc_id")
     return table(spark, d, "documents").select(F.least(F.row_number().over(w) - 1, F.lit(14)).alias("delay"), "doc_id")
+
+
+_BROKEN = """, raw AS (SELECT pos, CASE WHEN pos % 13 = 0 THEN ' ' ELSE title END AS title, CASE WHEN pos % 17 = 0 THEN 'ftp://x' ELSE url END AS url, source, source_type,
+  CASE WHEN pos % 19 = 0 THEN NULL WHEN pos % 23 = 0 THEN 'x' ELSE source_subreddit END AS source_subreddit, CASE WHEN pos % 29 = 0 THEN NULL ELSE published_at END AS published_at,
+  published_at AS fetched_at, CASE WHEN language IN ('es', 'en') THEN language ELSE CASE WHEN pos % 2 = 0 THEN language END END AS language FROM items)"""
+
+
+@query(_with(f"""{_BROKEN} SELECT pos, CASE WHEN trim(regexp_replace(title, '^\\s+|\\s+$', '', 'g')) = '' OR title IS NULL THEN 'title_empty' WHEN NOT regexp_matches(url, '^https?://') THEN 'url_not_http'
+  WHEN source_type = 'reddit' AND source_subreddit IS NULL THEN 'subreddit_missing' WHEN source_type <> 'reddit' AND source_subreddit IS NOT NULL THEN 'subreddit_unexpected'
+  WHEN published_at IS NULL THEN 'published_at_missing' WHEN language IS NOT NULL AND language NOT IN ('es', 'en') THEN 'language_unknown' END AS reject_reason FROM raw"""))
+def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Items with faults put in: the first rule that each breaks."""
+    p = F.col("pos")
+    broken = items_view(spark, d).select(
+        "pos", F.when(p % 13 == 0, " ").otherwise(F.col("title")).alias("title"), F.when(p % 17 == 0, "ftp://x").otherwise(F.col("url")).alias("url"), "source", "source_type",
+        F.when(p % 19 == 0, F.lit(None)).when(p % 23 == 0, "x").otherwise(F.col("source_subreddit")).alias("source_subreddit"),
+        F.when(p % 29 == 0, F.lit(None)).otherwise(F.col("published_at")).alias("published_at"), F.col("published_at").alias("fetched_at"),
+        F.when(F.col("language").isin("es", "en") | (p % 2 == 0), F.col("language")).alias("language"),
+    )
+    return broken.select("pos", raw_reject_reason().alias("reject_reason"))
+
+
+@query("""WITH featured AS (SELECT n_name AS name, n_nationkey AS ord FROM nation), available AS (SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9000),
+  logos AS (SELECT n_name AS name, 'logo-' || n_regionkey AS logo FROM nation WHERE n_regionkey = 2)
+  SELECT f.name, f.ord, l.logo FROM featured f LEFT JOIN logos l USING (name) WHERE l.logo IS NOT NULL OR f.name IN (SELECT name FROM available)""")
+def filter_buttons(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation")
+    featured = nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"))
+    rich = table(spark, d, "supplier").where("s_acctbal > 9000").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
+    logos = nation.where("n_regionkey = 2").select(F.col("n_name").alias("name"), F.concat(F.lit("logo-"), F.col("n_regionkey").cast("string")).alias("logo"))
+    return joins.buttons(featured, rich, logos)
+
+
+@query(_with("SELECT source_type, count(*) AS total, count_if(image_url IS NOT NULL) AS with_image, min(title) AS first_title, count(DISTINCT game) AS games FROM items GROUP BY source_type"))
+def class_report(spark: SparkSession, d: str) -> DataFrame:
+    return items_view(spark, d).groupBy("source_type").agg(
+        F.count("*").alias("total"), F.count_if(F.col("image_url").isNotNull()).alias("with_image"), F.min("title").alias("first_title"), F.countDistinct("game").alias("games")
+    )
+
+
+@query(_with(f"""SELECT pos, CAST(floor(len(body_text) / 3) + 320 AS BIGINT) AS tokens, upper(source[1:3]) AS initials, CASE WHEN len(body_text) > 800 THEN substr(body_text, 1, 800) || '...' ELSE body_text END AS cut FROM items"""))
+def display_strings(spark: SparkSession, d: str) -> DataFrame:
+    body = F.col("body_text")
+    return items_view(spark, d).select("pos", text.token_estimate(body).alias("tokens"), text.initials(F.col("source")).alias("initials"), text.truncate(body, 800, "...").alias("cut"))
+
+
+def _drained(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = stream.file_stream(spark, f"{d}/events.parquet", table(spark, d, "events"))
+    return stream.drain(make(stream.with_event_time(events, "ts", "60 days")), mode, f"{base}/out", f"{base}/checkpoint")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_window(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts by a stream over the events."""
+    got = _drained(spark, d, lambda s: stream.windowed(s, "ts", "1 day", by=("event_type",)), "complete")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """The users that a stream over the events lets through once."""
+    return _drained(spark, d, lambda s: stream.once_per_key(s, ["user_id"]).select("user_id"), "append")
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 12 HOUR, ts) AS TIMESTAMP) AS start, user_id, count(*) AS n FROM events GROUP BY ALL")
+def stream_user_windows(spark: SparkSession, d: str) -> DataFrame:
+    got = _drained(spark, d, lambda s: stream.windowed(s, "ts", "12 hours", by=("user_id",)), "complete")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")

@@ -14,8 +14,10 @@ from riffle.operators.store import Store
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Parquet files under path as a stream with the schema of like."""
-    return spark.readStream.schema(like.schema).parquet(path)
+    """Parquet under path, a folder or one file, as a stream with the schema of like.
+
+    The reader takes one file only by a pattern, so the last letter becomes a class."""
+    return spark.readStream.schema(like.schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def with_event_time(df: DataFrame, at: str, late: str = "24 hours") -> DataFrame:

@@ -312,6 +312,16 @@ def test_fallback_switches_after_three_bad_answers():
         f(("t", "b", None, "g", "media"))
 
 
+def test_chat_provider():
+    outs = [(429, {"Retry-After": "3"}, ""), (400, {}, "schema"), (200, {}, "no json"), (200, {}, '{"summary": "s"}'), (0, {}, "")]
+    slept, sent = [], []
+    chat = enrich.Chat(lambda p: (sent.append(p), outs.pop(0))[1], "m", sleep=slept.append)
+    assert chat.answer("t", "b", "en", "g", "media") == '{"summary": "s"}'
+    assert slept == [3.0] and "response_format" in sent[0] and "response_format" not in sent[2]
+    with pytest.raises(enrich.Unreachable):
+        chat.answer("t", "b", "en", "g", "media")
+
+
 def test_limiter_sleeps_until_the_oldest_leaves():
     t = [0.0]
     lim = enrich.Limiter(100, clock=lambda: t[0], sleep=lambda s: t.__setitem__(0, t[0] + s))
