@@ -31,7 +31,7 @@ from .disjoint import Disjoint
 
 SEED = 42
 BITS = 3
-#: Fingerprints that the driver sees to place the shards' boundaries.
+#: Fingerprints that the driver sees, at most and of a quarter at most, to place the shards' boundaries.
 SAMPLE = 40_000
 #: Fingerprints at home in a shard.
 SHARD = 8_192
@@ -165,7 +165,7 @@ def near_links(classes: DataFrame) -> DataFrame:
     They span the same components as all such pairs do.
     """
     n = classes.count()
-    share = min(1.0, SAMPLE / max(n, 1))
+    share = min(0.25, SAMPLE / max(n, 1))  # never all fingerprints, however few
     picked = classes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("fp").limit(2 * SAMPLE)
     sample = np.sort(np.array([r.fp for r in picked.collect()], np.int64)).view(np.uint64)
     trees = [build_tree(x, max(1, -(-n // SHARD))) for x in _halves(sample)]
