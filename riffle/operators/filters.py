@@ -35,6 +35,11 @@ def without_excluded(df: DataFrame, rules: list[Rule] | tuple[Rule, ...]) -> Dat
     return df.where(~mentions(rules, F.col("title"), F.col("body_text")))
 
 
+def split_reddit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reddit, other)."""
+    return df.where("source_type = 'reddit'"), df.where("source_type <> 'reddit'")
+
+
 def section(df: DataFrame, game: str | None = None, name: str = "all", rumor: str = "rumor") -> DataFrame:
     """The reader's view: rows of an entity (null: all) in a section: all, news (no rumors) or rumors."""
     if game is not None:

@@ -134,6 +134,15 @@ class Store:
         return newest_first(published)
 
 
+def read_logos(spark: SparkSession, path: str) -> DataFrame:
+    """(name, logo) of the games' file; none if it is missing."""
+    schema = "name string, logo string"
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def games_dimension(rules) -> list[dict]:
     """The games' configuration as rows: platform only where there is one."""
     return [{"name": r.name, "aliases": list(r.aliases), "logo": r.logo} | ({"platform": list(r.platform)} if r.platform else {}) for r in rules.include]
