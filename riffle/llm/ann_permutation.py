@@ -106,9 +106,10 @@ def _search_dim(vectors: DataFrame, asked: DataFrame, dim: int, k: int, share: f
         return pack
 
     kind = "ids binary, vectors binary, places binary"
-    # So few parts that blocks are full, whatever the files' layout.
+    # So few parts that blocks are full, whatever the files' layout; sorted, so that a part
+    # that is computed again, after an executor is lost, is cut into the same blocks.
     n, m = vectors.count(), asked.count()
-    index = vectors.repartition(max(1, -(-n // BLOCK)), "vec_id").mapInArrow(packer(BLOCK), kind)
+    index = vectors.repartition(max(1, -(-n // BLOCK)), "vec_id").sortWithinPartitions("vec_id", F.xxhash64("embedding")).mapInArrow(packer(BLOCK), kind)
     groups = max(1, -(-m // QUERIES))
     queries = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
 
