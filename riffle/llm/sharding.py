@@ -74,15 +74,12 @@ def number_rows(df: DataFrame, keys: list[str], name: str = "row_no") -> DataFra
     parts = max(1, -(-n // RANGE), min(64, n // 20_000))
     order_by = [F.col(k).asc_nulls_last() for k in keys]
     dealt = staged(df.repartitionByRange(parts, *order_by).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("_part").count()
-    # One row for each range: a list of at most rows / RANGE numbers.
-    firsts = {r["_part"]: r["count"] for r in sizes.collect()}
-    start, total = {}, 0
-    for p in sorted(firsts):
-        start[p], total = total, total + firsts[p]
-    offset = F.create_map(*[F.lit(x) for kv in (start or {0: 0}).items() for x in kv])
-    order = Window.partitionBy("_part").orderBy(*order_by)
-    return dealt.withColumn(name, F.element_at(offset, F.col("_part")).cast("long") + F.row_number().over(order) - F.lit(1)).drop("_part")
+    # One row for each range, about rows / RANGE of them.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    start = staged(sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")), "starts")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by))
+    return dealt.withColumn("_n", within).join(start, "_part").withColumn(name, F.col("_start") + F.col("_n") - 1).drop("_part", "_start", "_n")
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
