@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from riffle.functions.text import strip
 
+# Stored documents hold these words.
 SOURCE_TYPES = ("media", "steam", "reddit")
 LANGUAGES = ("es", "en")
 CATEGORIES = ("lanzamiento", "actualizacion", "rumor", "analisis")
