@@ -57,21 +57,20 @@ def first_rule(rules: list[Rule] | tuple[Rule, ...], *texts: Column) -> Column:
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
 
-def dictionary_matches(df: DataFrame, key: str, text: Column, terms: DataFrame, most_words: int = 4) -> DataFrame:
-    """(key, term) for every term (column `term`, of at most most_words words) that the folded text
-    holds as whole words, once a row: an equi-join on the text's distinct word runs, which
-    grows with the text and not with text times lexicon."""
+def dictionary_matches(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
+    """(key, term) for every term (column `term`) that the folded text holds as whole words, once
+    a key: an equi-join on first words, which grows with the text and not with text times
+    lexicon. key is unique in df."""
     words = F.filter(F.split(fold(text), " "), lambda w: w != "")
-    toks = df.select(key, words.alias("_w"))
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(most_words)),
-            lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    grams = toks.select(key, F.explode(F.array_distinct(runs)).alias("_gram"))
     t = terms.select("term", F.trim(fold(F.col("term"))).alias("_gram")).distinct()
-    return grams.join(t, "_gram").select(key, "term").distinct()
+    # A term can only be where its first word is: the texts' distinct words find the few
+    # candidates, which are then looked for in full.
+    found = df.select(key, F.array_distinct(words).alias("_w")).select(key, F.explode("_w").alias("_first"))
+    first = t.withColumn("_first", F.substring_index("_gram", " ", 1))
+    near = found.join(first, "_first").groupBy(key).agg(F.collect_set(F.struct("term", "_gram")).alias("_terms"))
+    whole = df.select(key, F.concat(F.lit(" "), F.trim(fold(text)), F.lit(" ")).alias("_text"))
+    held = whole.join(near, key).select(key, "_text", F.explode("_terms").alias("_t"))
+    return held.where(F.col("_text").contains(F.concat(F.lit(" "), F.col("_t._gram"), F.lit(" ")))).select(key, F.col("_t.term").alias("term")).distinct()
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str) -> DataFrame:

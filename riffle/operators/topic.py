@@ -17,13 +17,15 @@ def mask(folded: Column, suppress: tuple[str, ...]) -> Column:
     return F.regexp_replace(folded, phrase_pattern(suppress), " ") if suppress else folded
 
 
-def hits(folded: Column, signals: tuple[str, ...]) -> Column:
-    """The distinct signals that occur as whole words, in the plural too; each counts once."""
-    if not signals:
-        return F.array().cast("array<string>")
-    text = F.concat(F.lit(" "), F.trim(folded), F.lit(" "))
-    found = lambda s: text.contains(F.concat(F.lit(" "), s, F.lit(" "))) | text.contains(F.concat(F.lit(" "), s, F.lit("s ")))
-    return F.filter(literal(signals), found)
+def padded(folded: Column) -> Column:
+    return F.concat(F.lit(" "), F.trim(folded), F.lit(" "))
+
+
+def hits(text: Column, signals: tuple[str, ...]) -> Column:
+    """The distinct signals that occur as whole words in padded text, in the plural too; each
+    counts once. One test for each signal, not a filter whose body would fold the text anew."""
+    found = [F.when(text.contains(f" {s} ") | text.contains(f" {s}s "), F.lit(s)) for s in signals]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
 def feed_signals(categories: Column, pack: DomainPack) -> tuple[Column, Column]:
@@ -44,7 +46,12 @@ def classify(df: DataFrame, pack: DomainPack, anchor_name: Column | None = None)
     """
     title, url = mask(fold(F.coalesce("title", F.lit(""))), pack.suppress), fold(F.coalesce("url", F.lit("")))
     body = F.substring(mask(fold(F.coalesce("body_text", F.lit(""))), pack.suppress), 1, BODY)
-    head, whole = F.concat_ws(" ", title, url), F.concat_ws(" ", title, url, body)
+    texts = F.struct(title.alias("title"), url.alias("url"), body.alias("body"))
+    # Each text is folded once: the next step takes it from here by name, several times.
+    df = df.withColumn("_f", texts)
+    f = F.col("_f")
+    df = df.withColumn("_p", F.struct(padded(f["title"]).alias("title"), padded(F.concat_ws(" ", f["title"], f["url"])).alias("head"), padded(F.concat_ws(" ", f["title"], f["url"], f["body"])).alias("whole")))
+    title, head, whole = (F.col("_p")[c] for c in ("title", "head", "whole"))
     hard, boost = feed_signals(F.col("feed_categories"), pack)
     sp, wp = hits(whole, pack.strong_positive), hits(whole, pack.weak_positive)
     sn, wn = hits(head, pack.strong_negative), hits(head, pack.weak_negative)
@@ -74,7 +81,7 @@ def classify(df: DataFrame, pack: DomainPack, anchor_name: Column | None = None)
         .when(t["boost"] > 0, F.lit("feed_context"))
         .otherwise(F.lit("several_weak"))
     )
-    return staged.withColumns({"topic_pos": pos, "topic_neg": neg}).withColumns({"topic_ok": ok, "topic_reason": reason}).drop("_t")
+    return staged.withColumns({"topic_pos": pos, "topic_neg": neg}).withColumns({"topic_ok": ok, "topic_reason": reason}).drop("_t", "_f", "_p")
 
 
 def on_topic(df: DataFrame, pack: DomainPack, anchor_name: Column | None = None) -> DataFrame:

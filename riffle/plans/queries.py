@@ -289,7 +289,7 @@ def first_rule(spark: SparkSession, d: str) -> DataFrame:
 def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select(F.trim(text.fold(F.col("p_type"))).alias("term"))
     terms = parts.union(spark.createDataFrame([(t,) for t in ("that with", "in the", "stupid", "de la", "eau")], "term string")).distinct()
-    return joins.dictionary_matches(table(spark, d, "documents"), "doc_id", F.col("text"), terms, 3)
+    return joins.dictionary_matches(table(spark, d, "documents"), "doc_id", F.col("text"), terms)
 
 
 _SIG = f""", raw AS (SELECT pos, {S.normal_url('url')} AS url, CASE WHEN game = 'g1' THEN 'one' WHEN game = 'g10' THEN 'ten' ELSE lower(trim(game)) END AS game_key, published_at AS ts,

@@ -155,7 +155,7 @@ def test_rules_and_exclusion(spark):
 def test_dictionary_matches(spark):
     df = spark.createDataFrame([(1, "The Big, bad wolf"), (2, "badly"), (3, None)], "id long, t string")
     terms = spark.createDataFrame([("big bad",), ("wolf",), ("bad",)], "term string")
-    assert {tuple(r) for r in joins.dictionary_matches(df, "id", F.col("t"), terms, 2).collect()} == {(1, "big bad"), (1, "wolf"), (1, "bad")}
+    assert {tuple(r) for r in joins.dictionary_matches(df, "id", F.col("t"), terms).collect()} == {(1, "big bad"), (1, "wolf"), (1, "bad")}
 
 
 @pytest.mark.parametrize(
