@@ -203,7 +203,11 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """
     marked = staged(fingerprints(docs, width).withColumn("doc_id", F.col("doc_id").cast("long")), "simhash")
     classes = staged(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-class")
-    links = near_links(classes)
+    return grouped(marked, classes, near_links(classes))
+
+
+def grouped(marked: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of rows (doc_id, fp) under links between the reps of classes (fp, rep)."""
     # A doc_id with several texts stands in several classes: tie them together.
     twice = marked.where("doc_id is not null").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     ties = (
@@ -222,7 +226,11 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """docs, all columns, with one document of each component of near_duplicates(): that
     with the least doc_id. Of rows that share a doc_id one stays; rows without stay all."""
-    found = staged(near_duplicates(docs, width).select("doc_id", "component_id"), "simhash-found")
+    return drop_grouped(docs, staged(near_duplicates(docs, width).select("doc_id", "component_id"), "simhash-found"))
+
+
+def drop_grouped(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without those whose component_id in found (doc_id, component_id) is another document's."""
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     # The ids to drop grow with the corpus, so they are dealt with the documents at every
     # size and hashed; the documents, the large side, are neither sorted nor broadcast to.
