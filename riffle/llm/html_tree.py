@@ -37,6 +37,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements whose text is never shown.
 _HIDDEN = frozenset("head script style noscript template svg iframe object canvas audio video math".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
+#: What may stand in a head; anything else ends it, as text does.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
+_RAW_IN_HEAD = frozenset("title style script noscript template noframes".split())
 #: A start tag of these closes an open p.
 _CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -54,6 +57,27 @@ _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _LABEL = re.compile(r"data-label=\"([01])\"")
 
 
+def _head_end(source: str, at: int) -> int:
+    """Where the head whose start tag ends at `at` ends."""
+    while True:
+        m = _TAG.search(source, at)
+        if source[at : m.start() if m else len(source)].strip() or m is None:
+            return at
+        if m[2] is None:
+            at = m.end()
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if tag in ("head", "body", "html", "br"):
+                return m.end() if tag == "head" else m.start()
+        elif tag not in _IN_HEAD:
+            return m.start()
+        at = m.end()
+        if not m[1] and tag in _RAW_IN_HEAD and not m[3].endswith("/"):
+            stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            at = stop.end() if stop else len(source)
+
+
 class Dom:
     """Elements in document order, parents before children, and the text between block borders."""
 
@@ -106,9 +130,12 @@ class Dom:
                         break
                 continue
             if tag in _HIDDEN and not m[3].endswith("/"):
-                # Its end tag ends it; without one a head ends at the body and others at the text's end.
-                stop = re.compile(r"</head\s*>|(?=<body[\s>])" if tag == "head" else rf"</{tag}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else end
+                # Its end tag ends it; without one raw text runs to the page's end, and of others only the tag is hidden.
+                if tag == "head":
+                    at = _head_end(source, at)
+                    continue
+                stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                at = stop.end() if stop else end if tag in _RAW else at
                 continue
             if tag in _CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1):
