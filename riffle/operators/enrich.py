@@ -59,7 +59,8 @@ class Extractive:
 class Limiter:
     """Tokens spent in a trailing minute stay under a share of the limit: `wait` before a call.
 
-    One limiter governs one task; share a provider's limit over tasks by dividing it."""
+    One limiter governs one task; share a provider's limit over tasks by dividing it, and
+    give their number as `tasks`, by which limits learnt from answers are divided."""
 
     limit: int
     share: float = 0.8
@@ -67,6 +68,17 @@ class Limiter:
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
     spent: deque = field(default_factory=deque)
+    tasks: int = 1
+
+    def learn(self, headers: dict[str, str]) -> None:
+        """Take over the provider's limit, where an answer's headers state one."""
+        told = next((v for k, v in headers.items() if k.lower() == "x-ratelimit-limit-tokens"), None)
+        try:
+            limit = float(told or 0)
+        except ValueError:
+            return
+        if 0 < limit < float("inf"):
+            self.limit = max(1, int(limit / self.tasks))
 
     def _trailing(self, now: float) -> int:
         while self.spent and now - self.spent[0][0] >= self.window:
@@ -123,6 +135,8 @@ class Chat:
             if self.limiter:
                 self.limiter.wait(len(str(load)) // 3 + 320)
             status, headers, text = self.post(load)
+            if self.limiter:
+                self.limiter.learn(headers)
             if status == 200:
                 try:
                     check(strip_py(text), source_type)
