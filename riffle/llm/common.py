@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riffle.operators.tables import shared_dir
 from riffle.operators.tables import written as staged
 
 #: A word is a run of bytes other than space and 0x09-0x0D: what bytes.split() yields.
@@ -51,3 +54,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = staged(labels, "labels")
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
     return labels.join(least, "root").select("node", "component")
+
+
+def staged_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by key: it is grouped or joined by key
+    without being shuffled. As many buckets as the session has shuffle partitions."""
+    spark = df.sparkSession
+    table = f"{name}-{uuid.uuid4().hex}".replace("-", "_")
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)

@@ -6,14 +6,12 @@ import hashlib
 import math
 import random
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from riffle.llm import html_tree, quality_gam, secrets, sentencepiece
-from riffle.llm import lm_pitman_yor as lm
 
 SECRET = "xK9f3LmQ7zR2pV8tB4nW"
 
@@ -218,60 +216,6 @@ def test_html_text(spark):
     assert html_tree.extract(df.limit(0)).count() == 0
 
 
-def _corpus(n=60):
-    rng = random.Random(4)
-    vocab = [f"w{min(int(rng.paretovariate(0.7)), 400)}" for _ in range(2000)]
-    return [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 60)))) for i in range(n)]
-
-
-def test_base_score_and_counts(docs_of):
-    rows = [*_corpus(), (100, None), (101, ""), (102, "Brand NEW words"), (None, "no id"), (3, "again again"), (104, "w1 " * 20_000)]
-    got = lm.score(docs_of(rows)).collect()
-    toks = lambda t: (t or "").encode().lower().split() + ["end"]
-    train = Counter(w for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2 for w in toks(t))
-    n, v = sum(train.values()), len(train)
-    want = sorted((str(d), d is not None and zlib.crc32(str(d).encode()) % 7 == 2, len(toks(t)), sum(w in train for w in toks(t)), n, round(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in toks(t)), 6)) for d, t in rows)
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
-
-
-def test_model_beats_the_base_and_ignores_order(docs_of):
-    words = ["alpha beta gamma delta", "one two three four", "alpha beta one two"]
-    rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 20)))) for i in range(200)]
-    got = lm.score(docs_of(rows)).collect()
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    again = {r.doc_id: r.score for r in lm.score(docs_of(rows[::-1]).repartition(5)).collect()}
-    assert {r.doc_id: r.score for r in got} == pytest.approx(again, rel=1e-5)
-    assert lm.score(docs_of([])).count() == 0
-
-
-def test_predictive_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    words = np.sort(rng.integers(0, 2**63, 30, dtype=np.uint64))
-    shape = lm.Shape(words[:5], 1)
-    keys = np.unique(rng.integers(0, 30, 300) << 16 | rng.choice([0, 1, 2, 3, shape.pair0, shape.pair0 + 1, shape.pair0 + lm.PAIR_WORDS], 300))
-    dishes = lm.Dishes(shape, words, keys >> 16, keys & 0xFFFF, rng.integers(1, 200, len(keys)))
-    s = lm.Settings((0.6, 0.7, 0.8), 1 / 31)
-    for k in range(3):
-        z = dishes.totals()
-        for room in (0, 1, 3, 9, shape.pair0, shape.pair0 + 1):
-            p = dishes.predict(s, z, np.array([*range(30), -1]), np.full(31, room))
-            assert p.sum() == pytest.approx(1.0) and (p > 0).all()
-        assert (dishes.t1 <= dishes.c1).all() and (dishes.t1 >= 1).all() and (dishes.t2 <= dishes.c2).all() and (dishes.t0 <= dishes.c0).all()
-        dishes.sweep(s, z, np.random.default_rng(k))
-
-
-def test_seating_follows_the_restaurant_process():
-    c, a, d = 40, 3.0, 0.5
-    got = lm.seat(np.full(20_000, c), np.full(20_000, a), d, np.random.default_rng(1)).mean()
-    t = 1.0
-    for m in range(1, c):  # the mean is close to linear in t
-        t += a / (a + m - d * t)
-    assert got == pytest.approx(t, rel=0.02)
-
-
 def test_digests_match_the_contract(spark, sf):
     from riffle.llm.queries import QUERIES
 
