@@ -1,27 +1,30 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order in which it finds the pivots near. The index is
-cut into blocks; within a block every pivot has an inverted file that posts, for each
-vector, the pivot's place in the vector's order. A query reads the files of the pivots
-and ranks the block's vectors by Spearman's footrule, the sum of the differences in
-place; the share of the block that ranks best, ties included, is reranked by cosine on
-the original vectors. Queries are a stated subset and meet the index in blocks.
+A vector is represented by its NEAR nearest pivots, in order. The table is dealt into
+blocks; within a block every pivot has an inverted file of the vectors that have it among
+theirs, with its place in their order. A query reads the files of its own NEAR pivots
+only: a vector that shares a pivot gains 2 (NEAR - max(its place, the query's)), and the
+sum of gains is what the truncated footrule distance falls short of that of vectors
+without a common pivot. The share of the block that ranks best, ties included, is
+reranked by cosine on the original vectors.
+
+Vectors are shuffled once, to their blocks; queries, a stated subset, are sent to each
+block in packs. Beyond CHUNK queries a block is met by one chunk of them after the other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import matrix, norms, unit, usable
+from .vectors import norms, unit, usable
 
-#: Pivots, drawn from the table; vectors of an index block and queries of a query block.
-PIVOTS, BLOCK, QUERIES = 128, 8_192, 1_024
+#: Pivots, drawn from the table; pivots that a vector is posted under and a query reads.
+PIVOTS, NEAR = 512, 48
+#: Vectors of a block; queries of a pack, and of a chunk that meets a block at once.
+BLOCK, PACK, CHUNK = 8_192, 1_024, 65_536
 #: The part of each block, and the least number of its vectors, that are reranked.
 SHARE, LEAST = 0.10, 256
 
@@ -34,29 +37,47 @@ def pivots(vectors: DataFrame, dim: int, count: int = PIVOTS) -> np.ndarray:
     return unit(np.concatenate([x, more]))
 
 
-def places(x: np.ndarray, piv: np.ndarray) -> np.ndarray:
-    """Pivot-major postings: places[p, i] is pivot p's place in the order of vector i."""
-    order = np.argsort(-(unit(x) @ piv.T), axis=1, kind="stable")
-    out = np.empty(order.shape, np.int16)
-    np.put_along_axis(out, order, np.arange(len(piv), dtype=np.int16)[None, :].repeat(len(x), 0), 1)
-    return out.T.copy()
+def nearest(x: np.ndarray, piv: np.ndarray, near: int = NEAR) -> np.ndarray:
+    """The near nearest pivots of each vector, nearest first."""
+    return np.argsort(-(unit(x) @ piv.T), axis=1, kind="stable")[:, :near]
+
+
+class Files:
+    """The inverted files of a block: for each pivot, the vectors posted and their places."""
+
+    def __init__(self, order: np.ndarray, pivots: int):
+        n, self.near = order.shape
+        by_pivot = np.argsort(order.ravel(), kind="stable")
+        self.vector, self.place = np.divmod(by_pivot, self.near)
+        self.cuts = np.searchsorted(order.ravel()[by_pivot], np.arange(pivots + 1))
+        self.size = n
 
+    def gains(self, order: np.ndarray) -> np.ndarray:
+        """Of each vector, from the files of a query's pivots."""
+        at = [slice(self.cuts[p], self.cuts[p + 1]) for p in order]
+        vector = np.concatenate([self.vector[a] for a in at])
+        gain = np.concatenate([self.near - np.maximum(self.place[a], j) for j, a in enumerate(at)])
+        return np.bincount(vector, gain, self.size)
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, q_places: np.ndarray, ids: np.ndarray, x: np.ndarray, posted: np.ndarray, k: int, share: float) -> list[tuple[int, int, float]]:
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, files: Files, piv: np.ndarray, k: int, share: float) -> list[tuple[int, int, float]]:
     """The k best of a block for each query: (query, vec, cosine)."""
     out = []
+    asked = nearest(q, piv)
     size, q_size = norms(x), norms(q)
     want = max(LEAST, int(np.ceil(share * len(ids))))
     for i, (qid, v) in enumerate(zip(q_ids, q)):
-        rule = np.abs(posted - q_places[:, i : i + 1]).sum(0, dtype=np.int32)
         if want < len(ids):
-            near = np.flatnonzero(rule <= np.partition(rule, want - 1)[want - 1])
+            gain = files.gains(asked[i])
+            near = np.flatnonzero(gain >= np.partition(gain, -want)[-want])
         else:
             near = np.arange(len(ids))
         near = near[ids[near] != qid]
         score = np.einsum("ij,j->i", x[near], v) / (size[near] * q_size[i])
-        best = np.lexsort((ids[near], -score))[:k]
-        out += [(qid, int(ids[near[j]]), float(score[j])) for j in best]
+        best = np.lexsort((ids[near], -score))
+        # Repeated rows of a vector are found once.
+        _, first = np.unique(ids[near[best]], return_index=True)
+        out += [(qid, int(ids[near[j]]), float(score[j])) for j in best[np.sort(first)][:k]]
     return out
 
 
@@ -83,54 +104,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHAR
 
 def _search_dim(vectors: DataFrame, asked: DataFrame, dim: int, k: int, share: float) -> DataFrame:
     piv = pivots(vectors, dim)
-
-    def packer(most: int):
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, xs = [], []
-
-            def block() -> pa.RecordBatch:
-                i, x = np.concatenate(ids), np.concatenate(xs)
-                return pa.RecordBatch.from_arrays([pa.array([i.tobytes()]), pa.array([x.tobytes()]), pa.array([places(x, piv).tobytes()])], ["ids", "vectors", "places"])
-
-            for b in batches:
-                for at in range(0, len(b), most):
-                    part = b.slice(at, most)
-                    if ids and sum(map(len, ids)) + len(part) > most:
-                        yield block()
-                        ids, xs = [], []
-                    ids.append(part.column(0).to_numpy(zero_copy_only=False))
-                    xs.append(matrix(part.column(1), dim))
-            if ids:
-                yield block()
-
-        return pack
-
-    kind = "ids binary, vectors binary, places binary"
-    # So few parts that blocks are full, whatever the files' layout; sorted, so that a part
-    # that is computed again, after an executor is lost, is cut into the same blocks.
     n, m = vectors.count(), asked.count()
-    index = vectors.repartition(max(1, -(-n // BLOCK)), "vec_id").sortWithinPartitions("vec_id", F.xxhash64("embedding")).mapInArrow(packer(BLOCK), kind)
-    groups = max(1, -(-m // QUERIES))
-    queries = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-
-    def pack_group(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+    blocks, chunks, packs = max(1, -(-n // BLOCK)), max(1, -(-m // CHUNK)), max(1, -(-m // PACK))
+    # The rows of a vec_id that is repeated very often are dealt by partition, too.
+    block = F.pmod(F.xxhash64("vec_id", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    index = vectors.withColumn("block", block)
+    index = index.withColumn("chunk", every(chunks)) if chunks > 1 else index.withColumn("chunk", F.lit(0))
+
+    def pack(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"group": [key[0]], "q_ids": [f["vec_id"].to_numpy(np.int64).tobytes()], "q": [x.tobytes()], "q_places": [places(x, piv).tobytes()]})
-
-    packed = queries.groupBy("group").applyInPandas(pack_group, "group int, q_ids binary, q binary, q_places binary")
-    # Salted, so that a task gets a few index blocks and one block of queries.
-    salts = max(1, n // (4 * BLOCK))
-    spread = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = index.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    meet = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(spread, ["group", "salt"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for t in f.itertuples(index=False):
-                ids, q_ids = np.frombuffer(t.ids, np.int64), np.frombuffer(t.q_ids, np.int64)
-                x, q = (np.frombuffer(b, np.float64).reshape(-1, dim) for b in (t.vectors, t.q))
-                posted, q_places = (np.frombuffer(b, np.int16).reshape(len(piv), -1) for b in (t.places, t.q_places))
-                got = search_block(q_ids, q, q_places, ids, x, posted, k, share)
-                yield pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
-
-    return meet.drop("group", "salt").mapInPandas(run, "query_id long, vec_id long, score double")
+        return pd.DataFrame({"pack": [key[0]], "ids": [f["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()]})
+
+    distinct = asked.dropDuplicates(["vec_id", "embedding"])
+    packed = distinct.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int").alias("pack")).applyInPandas(pack, "pack int, ids binary, vectors binary")
+    sent = packed.withColumn("block", every(blocks)).withColumn("chunk", F.col("pack") % chunks)
+
+    def meet(key: tuple, f: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        got: list[tuple[int, int, float]] = []
+        if len(f):
+            ids, x = f["vec_id"].to_numpy(np.int64), np.stack(f["embedding"].to_numpy()).astype(np.float64)
+            files = Files(nearest(x, piv), len(piv))
+            for t in queries.itertuples(index=False):
+                got += search_block(np.frombuffer(t.ids, np.int64), np.frombuffer(t.vectors, np.float64).reshape(-1, dim), ids, x, files, piv, k, share)
+        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
+
+    return index.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInPandas(meet, "query_id long, vec_id long, score double")
