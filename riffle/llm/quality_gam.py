@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Labelled rows to fit on, at most about; those with the least hashes of doc_id.
+#: Labelled doc_ids, and distinct rows of them, to fit on, at most about; those with the least hashes.
 FIT_ROWS = 50_000
 BINS, PAIR_BINS = 32, 8
 ROUNDS, PAIR_ROUNDS, PAIRS = 120, 60, 6
@@ -153,11 +153,12 @@ def _cuts(x: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1]))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """Fit to features x and labels y of 0 and 1. Without rows every score is 0.5."""
-    pos = float(y.sum())
-    model = Model(bias=math.log((pos + 1) / (len(y) - pos + 1)))
-    if not len(y) or pos in (0, len(y)):
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Model:
+    """Fit to features x and labels y of 0 and 1, of weighted rows. Without rows every score is 0.5."""
+    weight = np.ones(len(y)) if weight is None else weight
+    pos = float(weight @ y)
+    model = Model(bias=math.log((pos + 1) / (float(weight.sum()) - pos + 1)))
+    if not len(y) or y.min() == y.max():
         return model
     model.cuts = [_cuts(c, BINS) for c in x.T]
     model.coarse = [_cuts(c, PAIR_BINS) for c in x.T]
@@ -169,14 +170,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         for j, b in enumerate(fine):
             p = _sigmoid(total)
             n = len(model.tables[j])
-            add = STEP * _tree(np.bincount(b, y - p, n), np.bincount(b, p * (1 - p), n))
+            add = STEP * _tree(np.bincount(b, weight * (y - p), n), np.bincount(b, weight * p * (1 - p), n))
             model.tables[j] += add
             total += add[b]
 
     def grids(i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p, shape = _sigmoid(total), (len(model.coarse[i]) + 1, len(model.coarse[j]) + 1)
         cell, size = coarse[i] * shape[1] + coarse[j], shape[0] * shape[1]
-        return np.bincount(cell, y - p, size).reshape(shape), np.bincount(cell, p * (1 - p), size).reshape(shape), cell
+        return np.bincount(cell, weight * (y - p), size).reshape(shape), np.bincount(cell, weight * p * (1 - p), size).reshape(shape), cell
 
     gains = sorted(((_quadrants(*grids(i, j)[:2])[1], i, j) for i, j in combinations(range(x.shape[1]), 2)), key=lambda g: (-g[0], g[1:]))
     chosen = {(i, j): np.zeros((len(model.coarse[i]) + 1, len(model.coarse[j]) + 1)) for gain, i, j in gains[:PAIRS] if gain > 0}
@@ -195,17 +196,22 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
-def learn(marked: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on the features (doc_id, f) of rows with a label (doc_id, quality).
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Fit on the rows of docs (doc_id, text) with a label (doc_id, quality).
 
-    Beyond about fit_rows labelled rows, those with the least hashes of doc_id are taken."""
+    Beyond about fit_rows labelled doc_ids, those with the least hashes are taken; ids and
+    labels meet before any text is read. Equal rows are one row with a weight, so that the
+    driver gets about fit_rows rows, however often one is repeated."""
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    joined = marked.join(known, "doc_id")
-    n = joined.count()
-    part = joined.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(min(1.0, fit_rows / max(n, 1)) * (1 << 24)))
-    rows = sorted((r.doc_id, r.quality, tuple(r.f)) for r in part.collect())
-    x = np.array([r[2] for r in rows], np.float64).reshape(-1, len(FEATURES))
-    return fit(x, np.array([r[1] for r in rows], np.float64))
+    least = lambda hashed, n: F.pmod(hashed, F.lit(1 << 24)) < int(min(1.0, fit_rows / max(n, 1)) * (1 << 24))
+    met = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct()
+    chosen = staged(met.where(least(F.xxhash64("doc_id"), met.count())), "quality-ids")
+    part = featurise(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).groupBy("doc_id", "f").count()
+    rows = staged(part.join(known.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id", "quality").count().withColumnRenamed("count", "times"), "doc_id"), "quality-rows")
+    rows = rows.where(least(F.xxhash64("doc_id", "f"), rows.count())).select("doc_id", "quality", "f", (F.col("count") * F.col("times")).alias("weight"))
+    got = sorted((r.doc_id, r.quality, tuple(r.f), r.weight) for r in rows.collect())
+    x = np.array([r[2] for r in got], np.float64).reshape(-1, len(FEATURES))
+    return fit(x, np.array([r[1] for r in got], np.float64), np.array([r[3] for r in got], np.float64))
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, accept: float = ACCEPT) -> DataFrame:
@@ -213,22 +219,25 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int =
 
     Rows whose remainder(folds) is held_out teach the model nothing. Null and empty texts
     get the score of a text without words; a row without doc_id is scored, is not held
-    out and has no label. Repeated rows repeat their score; labels other than 0 and 1 are
-    ignored; without labels every score is 0.5. Only the text is an input.
+    out and has no label. Repeated rows repeat their score, and count as often as they
+    stand in either table; labels other than 0 and 1 are ignored; without labels every
+    score is 0.5. Only the text is an input.
     """
-    marked = staged(featurise(docs), "quality-features")
     out = F.coalesce(remainder(folds) == held_out, F.lit(False))
-    model = learn(marked.where(~out), labels)
+    model = learn(docs.where(~out), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model, b.column(1)))], ["doc_id", "score"])
 
-    scored = marked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    return model.score(np.array([features(t.as_py() or "") for t in texts], np.float64).reshape(-1, len(FEATURES)))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, accept: float = ACCEPT) -> DataFrame:
     """docs, all columns, without the rows that classify() would score below accept.
 
@@ -236,11 +245,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int
     read and never joined or shuffled.
     """
     out = F.coalesce(remainder(folds) == held_out, F.lit(False))
-    model = learn(staged(featurise(docs.where(~out)), "quality-features"), labels)
+    model = learn(docs.where(~out), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t or "") for t in b.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(model.score(x) >= accept))
+            yield b.filter(pa.array(_scores(model, b.column("text")) >= accept))
 
     return docs.mapInArrow(run, docs.schema)

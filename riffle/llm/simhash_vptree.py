@@ -31,10 +31,12 @@ from .disjoint import Disjoint
 
 SEED = 42
 BITS = 3
-#: Fingerprints that the driver sees, at most and of a quarter at most, to place the shards' boundaries.
+#: Fingerprints that the driver sees, about, to place the shards' boundaries.
 SAMPLE = 40_000
 #: Fingerprints at home in a shard.
 SHARD = 8_192
+#: Ids of documents to drop that are broadcast at most (8 bytes each).
+SENT = 2_000_000
 _CHUNK = 1 << 16
 _BRUTE = 1 << 20
 
@@ -165,7 +167,7 @@ def near_links(classes: DataFrame) -> DataFrame:
     They span the same components as all such pairs do.
     """
     n = classes.count()
-    share = min(0.25, SAMPLE / max(n, 1))  # never all fingerprints, however few
+    share = min(1.0, SAMPLE / max(n, 1))
     picked = classes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("fp").limit(2 * SAMPLE)
     sample = np.sort(np.array([r.fp for r in picked.collect()], np.int64)).view(np.uint64)
     trees = [build_tree(x, max(1, -(-n // SHARD))) for x in _halves(sample)]
@@ -232,9 +234,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 def drop_grouped(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without those whose component_id in found (doc_id, component_id) is another document's."""
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    # The ids to drop grow with the corpus, so they are dealt with the documents at every
-    # size and hashed; the documents, the large side, are neither sorted nor broadcast to.
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    # A few ids are sent to the documents; more than that are dealt with them.
+    few = gone.limit(SENT + 1).count() <= SENT
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept

@@ -9,8 +9,9 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from test_dedup import _components, _plain
+from test_dedup import _components
 from test_mix_shard import WORD, _hash, _targets
+from test_near_copies import _near, _set
 from test_text_ops import _plain_base
 
 import corpus_pipeline
@@ -44,9 +45,9 @@ def test_stages_and_run(spark, tmp_path):
     quality = dict((d, q) for d, q, _ in labels)
     fit = sorted((d, quality[d], tuple(quality_gam.features(t))) for d, t, _ in rows if d in quality and zlib.crc32(str(d).encode()) % 4 != 2)
     model = quality_gam.fit(np.array([f for *_, f in fit]), np.array([q for _, q, _ in fit], float))
-    kept = [r for r in rows if model.score(np.array([quality_gam.features(r[1])]))[0] >= 0.5]
-    fps = [(d, _plain(t)) for d, t, _ in kept]
-    lead = _components([d for d, _ in fps], [(a, b) for a, x in fps for b, y in fps if bin(x ^ y).count("1") <= 3])
+    kept = [r for r in rows if model.score(np.array([quality_gam.features(r[1])]))[0] >= 0.7]
+    sets = [(d, _set(t)) for d, t, _ in kept]
+    lead = _components([d for d, _ in sets], [(a, b) for a, x in sets for b, y in sets if _near(x, y)])
     kept = [r for r in kept if lead[r[0]] == r[0]]
     allow = [re.compile(p) for p in secrets.ALLOW]
     kept = [(d, secrets.redact_text(t, _plain_base(t) + secrets.entropy_spans(t, _plain_base(t), allow)), s) for d, t, s in kept]
@@ -73,6 +74,7 @@ def test_stages_and_run(spark, tmp_path):
 
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.source, tuple(r.piece_ids)) for r in got) == want
+    assert all(r.round_trip for r in got)
     assert any(c > 1 for c in want.values()) and len(kept) < len(rows)
 
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
