@@ -14,6 +14,16 @@ from riffle.operators.tables import written as staged
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a few numbers each that are broadcast at most.
+SENT = 2_000_000
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """rows (of numbers), to be broadcast to what they are joined with where they are few;
+    beyond SENT the join deals out both sides."""
+    return F.broadcast(rows) if rows.limit(SENT + 1).count() <= SENT else rows
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the graph of edges (a, b); component is its smallest node.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, staged
+from .common import connected_components, sent, staged
 from .disjoint import Disjoint
 
 SEED = 42
@@ -35,8 +35,6 @@ BITS = 3
 SAMPLE = 40_000
 #: Fingerprints at home in a shard.
 SHARD = 8_192
-#: Ids of documents to drop that are broadcast at most (8 bytes each).
-SENT = 2_000_000
 _CHUNK = 1 << 16
 _BRUTE = 1 << 20
 
@@ -234,9 +232,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 def drop_grouped(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without those whose component_id in found (doc_id, component_id) is another document's."""
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    # A few ids are sent to the documents; more than that are dealt with them.
-    few = gone.limit(SENT + 1).count() <= SENT
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(sent(gone), "doc_id", "left_anti").select(docs.columns)
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
