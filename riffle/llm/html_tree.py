@@ -52,7 +52,8 @@ _AGAINST = frozenset(
     "sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
 _FOR = frozenset("article articlebody body content entry main post story text".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: A quote quotes only right after an equals sign.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LABEL = re.compile(r"data-label=\"([01])\"")
 
@@ -78,6 +79,18 @@ def _head_end(source: str, at: int) -> int:
             at = stop.end() if stop else len(source)
 
 
+def _ends(source: str, tag: str) -> dict[int, int]:
+    """Where the element of each start tag that has an end tag ends, nested ones counted."""
+    out, open_ = {}, []
+    for m in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])[^>]*>", re.I | re.S).finditer(source):
+        if m[1]:
+            if open_:
+                out[open_.pop()] = m.end()
+        elif m[1] is not None and not m[0].endswith("/>"):
+            open_.append(m.start())
+    return out
+
+
 class Dom:
     """Elements in document order, parents before children, and the text between block borders."""
 
@@ -103,11 +116,14 @@ class Dom:
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
         links, at = 0, 0
+        opened: dict[str, int] = defaultdict(int)  # by tag: what isn't open isn't looked for
+        ends: dict[str, dict[int, int]] = {}
 
         def close(to: int) -> None:
             nonlocal links
             while len(stack) > to:
                 tag, _ = stack.pop()
+                opened[tag] -= 1
                 links -= tag == "a"
                 if tag in KIND:
                     self.events.append(None)
@@ -124,7 +140,7 @@ class Dom:
                 continue
             tag = m[2].lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[k][0] == tag:
                         close(k)
                         break
@@ -134,17 +150,22 @@ class Dom:
                 if tag == "head":
                     at = _head_end(source, at)
                     continue
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else end if tag in _RAW else at
+                if tag in _RAW:
+                    stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                    at = stop.end() if stop else end
+                else:
+                    if tag not in ends:
+                        ends[tag] = _ends(source, tag)
+                    at = ends[tag].get(m.start(), at)
                 continue
             if tag in _CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                     if stack[k][0] == "p":
                         close(k)
                         break
                     if stack[k][0] in KIND:
                         break
-            for k in range(len(stack) - 1, 0, -1) if tag in _CLOSES else ():
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in _CLOSES.get(tag, ())) else ():
                 if stack[k][0] in _CLOSES[tag]:
                     close(k)
                     break
@@ -164,6 +185,7 @@ class Dom:
             self.chars.append(0)
             self.linked.append(0)
             stack.append((tag, len(self.parent) - 1))
+            opened[tag] += 1
             links += tag == "a"
             if tag in _RAW:
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import re
+import time
+
 import pytest
 
 from riffle.llm import html_tree
@@ -24,3 +28,47 @@ def test_an_unclosed_element_keeps_the_rest(tag):
 
 def test_raw_text_runs_to_the_end():
     assert _text("<p>one</p><script>var a = '<p>no</p>'") == "one"
+
+
+@pytest.mark.parametrize("tag", ["svg", "object", "video"])
+def test_nested_hidden_elements_hide_all_they_hold(tag):
+    assert _text(f"<p>one</p><{tag}><{tag}>no</{tag}>no</{tag}><p>two</p>") == "one two"
+    assert _text(f"<p>one</p><{tag}><p>two</p><{tag}>no</{tag}>") == "one two"
+
+
+def test_quotes_quote_after_an_equals_sign_only():
+    assert _text("<p title=it's>one</p><p title=\"a>b\" lang='c>d'>two</p><p it's>three</p>") == "one two three"
+
+
+@pytest.mark.parametrize("part", ["<b>x</i>", "<b><p>x", "<svg>", "<div>", "<li>x", '<p a="x ', "<td><b>x", "<!-- x", "< a ", "<title>x", "</p>"])
+def test_time_grows_with_the_page(part):
+    p = html_tree.train(html_tree.labelled_pages(20))
+    took = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        html_tree.main_text(part * n, p)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 0.3
+
+
+def test_a_page_of_megabytes():
+    p = html_tree.train(html_tree.labelled_pages())
+    paragraphs = [f"word {i} and more words of an article that goes on and on" for i in range(60_000)]
+    page = "<body><nav><a href=/>home</a></nav><article>" + "".join(f"<p>{x}</p>" for x in paragraphs) + "</article></body>"
+    assert len(page) > 3_000_000 and html_tree.main_text(page, p) == "\n".join(paragraphs)
+
+
+def _article(page):
+    """The test pages mark their article; its blocks, without a parser."""
+    blocks = re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", re.search("<article>(.*)</article>", page, re.S)[1])
+    lines = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+    return "\n".join(x for x in lines if x)
+
+
+def test_agreement_on_the_pages(spark, sf):
+    from riffle.llm.queries import QUERIES
+
+    got = {r.page_id: r for r in QUERIES["op9_html_tree"](spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    same = sum(got[r.page_id].text == _article(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text) for r in pages)
+    assert same >= 0.99 * len(pages) > 0
