@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from .common import connected_components, looked_up, staged
 from .disjoint import Disjoint
 from .vectors import matrix, unit, usable
 
@@ -30,9 +30,17 @@ COSINE = 0.93
 DIMS, SAMPLE = 8, 10_000
 #: Vectors in a block, and in an interval that is compared at once.
 BLOCK, LEAF = 2_048, 256
+#: Leading dimensions whose cells blocks meet in.
+MEET = 3
 _SLACK = 1e-9
 
 
+def _coordinates(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Projections of unit vectors, and the length of the rest: no two are further apart than the vectors."""
+    p = x @ axes
+    return np.column_stack([p, np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", p, p)))])
+
+
 def principal(vectors: DataFrame, dim: int) -> np.ndarray:
     """Up to DIMS orthonormal directions of most variance, from a bounded sample.
 
@@ -46,7 +54,8 @@ def principal(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def _far(p: np.ndarray, q: np.ndarray, eps: float) -> bool:
-    return bool((p.min(0) > q.max(0) + eps).any() or (q.min(0) > p.max(0) + eps).any())
+    gap = np.maximum(0.0, np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)))
+    return bool(gap @ gap > eps * eps)
 
 
 def _join(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, same: bool, eps: float, least: float, found: Disjoint, links: np.ndarray) -> None:
@@ -101,8 +110,8 @@ def near_links(rows: DataFrame, cosine: float, dim: int, axes: np.ndarray) -> Da
 
         def block(part: list[tuple]) -> pa.RecordBatch:
             x = unit(np.stack([t[2] for t in part]))
-            proj = x @ axes
-            lo, hi = proj.min(0), proj.max(0)
+            at = _coordinates(x, axes)
+            lo, hi = at.min(0), at.max(0)
             return pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().hex]), pa.array([part[0][1]], label_type), pa.array([lo.tolist()]), pa.array([hi.tolist()]),
                  pa.array([np.array([t[0] for t in part], np.int64).tobytes()]), pa.array([np.stack([t[2] for t in part]).tobytes()])],
@@ -127,15 +136,19 @@ def near_links(rows: DataFrame, cosine: float, dim: int, axes: np.ndarray) -> Da
         ordered.select("row", "label", "embedding").mapInArrow(pack, f"block string, label {kind}, lo array<double>, hi array<double>, ids binary, vectors binary"),
         "ego-blocks",
     )
-    # A block spans a short run of cells of the first dimension; blocks meet in a cell that both reach.
-    first = lambda c, i: F.floor((F.col(c)[0] + i) / eps).cast("int")
-    meta = blocks.select("block", "label", "lo", "hi")
-    left = meta.select(F.col("block").alias("a"), "label", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(first("lo", 0.0), first("hi", 0.0))).alias("cell"))
-    right = meta.select(F.col("block").alias("b"), "label", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(first("lo", -eps), first("hi", eps))).alias("cell"))
-    near = F.col("a") <= F.col("b")
-    for i in range(k):
-        near &= (F.col("lo_a")[i] <= F.col("hi_b")[i] + eps) & (F.col("lo_b")[i] <= F.col("hi_a")[i] + eps)
-    pairs = left.join(right, ["label", "cell"]).where(near).select("a", "b").distinct()
+    # Blocks meet in the cells of leading dimensions that both reach, and count in the first such cell.
+    meta, meet = blocks.select("block", "label", "lo", "hi"), [f"m{i}" for i in range(min(MEET, k))]
+    cell = lambda c, i, by: F.floor((F.col(c)[i] + by) / eps).cast("int")
+    left = meta.select(F.col("block").alias("a"), "label", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), *[cell("lo", i, 0.0).alias(f"a{i}") for i in range(len(meet))])
+    right = meta.select(F.col("block").alias("b"), "label", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), *[cell("lo", i, -eps).alias(f"b{i}") for i in range(len(meet))])
+    for i, m in enumerate(meet):
+        left = left.withColumn(m, F.explode(F.sequence(F.col(f"a{i}"), cell("hi_a", i, 0.0))))
+        right = right.withColumn(m, F.explode(F.sequence(F.col(f"b{i}"), cell("hi_b", i, eps))))
+    gap = lambda i: F.greatest(F.lit(0.0), F.col("lo_a")[i] - F.col("hi_b")[i], F.col("lo_b")[i] - F.col("hi_a")[i])
+    near = (F.col("a") <= F.col("b")) & (sum((gap(i) * gap(i) for i in range(1, k + 1)), gap(0) * gap(0)) <= eps * eps)
+    for i, m in enumerate(meet):
+        near &= F.col(m) == F.greatest(f"a{i}", f"b{i}")
+    pairs = left.join(right, ["label", *meet]).where(near).select("a", "b")
     both = pairs.join(blocks.select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("vectors").alias("va")), "a").join(
         blocks.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("vectors").alias("vb")), "b"
     )
@@ -149,7 +162,7 @@ def near_links(rows: DataFrame, cosine: float, dim: int, axes: np.ndarray) -> Da
                 y = x if same else unit(np.frombuffer(t.vb, np.float64).reshape(-1, dim))
                 ids = ids if same else np.concatenate([ids, np.frombuffer(t.ids_b, np.int64)])
                 found, links = Disjoint(len(ids)), np.zeros(len(ids), np.int64)
-                _join(x, y, x @ axes, y @ axes, same, eps, cosine, found, links)
+                _join(x, y, _coordinates(x, axes), _coordinates(y, axes), same, eps, cosine, found, links)
                 at = np.flatnonzero(links)
                 yield pd.DataFrame({"row": ids[at], "to": ids[found.roots()[at]], "n": links[at]})
 
@@ -178,12 +191,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     links = staged(links, "ego-links")
     groups = connected_components(links.select(F.col("row").alias("a"), F.col("to").alias("b")).where("a != b"))
-    named = groups.join(ids, F.col("node") == F.col("row")).select("row", "component", "vec_id")
-    least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    named = staged(groups.join(ids, F.col("node") == F.col("row")).select("row", "component", "vec_id"), "ego-groups")
+    least = looked_up(named, named.groupBy("component").agg(F.min("vec_id").alias("component_id")), "component").select("row", "component_id")
     counts = links.groupBy("row").agg(F.sum("n").alias("n_links"))
     return (
         ids.join(counts, "row", "left")
-        .join(named.join(least, "component").select("row", "component_id"), "row", "left")
+        .join(least, "row", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     )

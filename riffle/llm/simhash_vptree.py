@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, sent, staged
+from .common import connected_components, looked_up, sent, staged
 from .disjoint import Disjoint
 
 SEED = 42
@@ -217,10 +217,9 @@ def grouped(marked: DataFrame, classes: DataFrame, links: DataFrame) -> DataFram
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
         "fp", F.coalesce("component", "rep").alias("component")
     )
-    # Each doc_id names its component by its least class, so the join below is by fp alone.
-    return marked.join(named, "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
-    )
+    # Very many rows may share a fingerprint; rows without doc_id have no component.
+    found = looked_up(marked.where("doc_id is not null"), named, "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
+    return found.unionByName(marked.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
