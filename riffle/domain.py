@@ -49,11 +49,22 @@ class DomainPack:
     generic_tokens: tuple[str, ...] = ()
     non_game: tuple[str, ...] = ()
     post_name: tuple[str, ...] = ()
-    comparison_suffixes: tuple[str, ...] = ("esque", "like", "style", "inspired")
-    negations: tuple[str, ...] = ("no", "not", "never", "without", "isnt", "nor")
-    contraction_stems: tuple[str, ...] = ("isn", "aren", "doesn", "don", "didn", "wasn", "weren", "won", "can")
+    # Words that make a mention a comparison, negation or dismissal.
+    comparison_suffixes: tuple[str, ...] = (
+        "esque", "like", "style", "styled", "inspired", "evoking", "clone", "clones", "ripoff", "rip off",
+        "ripoffs", "knockoff", "knock offs", "wannabe", "homage",
+    )
+    negations: tuple[str, ...] = (
+        "not", "no", "never", "neither", "nor", "unlike", "without", "except",
+        "rather", "instead", "than", "versus", "vs", "unless", "beyond",
+    )
+    contraction_stems: tuple[str, ...] = (
+        "isn", "aren", "arent", "wasn", "weren", "werent", "aint", "didn", "doesn", "don", "hant",
+        "hadn", "shouldn", "wouldn", "won", "can", "couldn", "needn", "mustn",
+    )
     playing: tuple[str, ...] = ("playing", "played")
-    dismissals: tuple[str, ...] = ("excluded", "aside", "notwithstanding")
+    dismissals: tuple[str, ...] = ("nope", "nah", "nada")
+    no_follow: tuple[str, ...] = ("thanks", "thank", "thx", "way", "worries")
     contrast_verbs: tuple[str, ...] = ("mixes", "blends", "combines", "feels", "looks")
     pronouns: tuple[str, ...] = ("it", "this", "that", "he", "she", "they", "we", "i", "you", "there", "what", "who")
     places: tuple[str, ...] = ()

@@ -32,23 +32,21 @@ def is_reference(title: str, name: str, pack: DomainPack) -> bool:
     if at < 0 or not n:
         return False
     after = words[at + n :]
-    if after and after[0] in pack.comparison_suffixes:
+    if after and (after[0] in pack.comparison_suffixes or " ".join(after[:2]) in pack.comparison_suffixes):
         return True
     before = words[max(0, at - 10) : at]
-    near = before[-2:]
-    if any(w in pack.negations for w in near) or len(near) == 2 and near[1] == "t" and near[0] in pack.contraction_stems:
+    stem = lambda i: before[i] in pack.contraction_stems and i + 1 < len(before) and before[i + 1] == "t"
+    if any(w in pack.negations for w in before[-2:]) or len(before) > 1 and stem(len(before) - 2):
+        return True
+    # A list inherits a negation unless a verb of playing stands between.
+    first = next((i for i, w in enumerate(before) if w in pack.negations), None)
+    first = next((i for i in range(len(before)) if stem(i)), None) if first is None else first
+    if first is not None and not any(w in pack.playing for w in before[first + 1 :]):
         return True
-    for i in range(len(before) - 1, -1, -1):
-        if before[i] in pack.playing:
-            break
-        if before[i] in pack.negations:
-            return True
     if after and after[0] in pack.dismissals:
         return True
-    for i, w in enumerate(after[:4]):
-        if w == "no" and (i + 1 == len(after) or after[i + 1] in pack.dismissals):
-            return True
-    return False
+    no = after.index("no") if "no" in after[:4] else None
+    return no is not None and (no + 1 == len(after) or after[no + 1] in pack.no_follow)
 
 
 def mention_count(text: str, name: str) -> int:
@@ -131,6 +129,16 @@ def rescued(title: str, pack: DomainPack) -> bool:
     return bool(name) and len(name.split()) <= 5 and any(w not in noise for w in _folded(name.split()))
 
 
+def rescued_name(title: Column, pack: DomainPack) -> Column:
+    """The anchor's name where it speaks for the topic, else null."""
+
+    @F.pandas_udf("string")
+    def found(titles: pd.Series) -> pd.Series:
+        return titles.fillna("").map(lambda t: anchor_name(t, pack) if rescued(t, pack) else None)
+
+    return found(title) if pack.anchors else F.lit(None).cast("string")
+
+
 def contrast_subject(title: str, pack: DomainPack) -> str | None:
     """One to three capitalised words before a verb that contrasts or an isn't."""
     words = tokens(title)

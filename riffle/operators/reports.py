@@ -13,10 +13,18 @@ def by_class(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_if(F.expr(REDDIT)).alias("reddit"), F.count_if(F.expr(f"not ({REDDIT})")).alias("media_steam"))
 
 
+def _first_titles(df: DataFrame, most: int) -> DataFrame:
+    """(titles): the first titles by pos, without gathering the rest."""
+    return df.orderBy("pos").limit(most).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda s: s["title"]).alias("titles"))
+
+
 def stage_stats(df: DataFrame, stage: str, titles: int = 10) -> DataFrame:
-    """One row: stage, counts by class, and the first titles by pos, without gathering the rest."""
-    first = df.orderBy("pos").limit(titles).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda s: s["title"]).alias("titles"))
-    return by_class(df).withColumn("stage", F.lit(stage)).join(first)
+    """One row: stage, counts by class, and the first titles by pos."""
+    none, zero = F.array().cast("array<string>").alias("titles"), F.lit(0).cast("long")
+    counts = by_class(df).select("total", "reddit", "media_steam", none)
+    first = _first_titles(df, titles).select(zero.alias("total"), zero.alias("reddit"), zero.alias("media_steam"), "titles")
+    both = counts.unionAll(first).agg(*[F.sum(c).alias(c) for c in ("total", "reddit", "media_steam")], F.flatten(F.collect_list("titles")).alias("titles"))
+    return both.select(F.lit(stage).alias("stage"), "total", "reddit", "media_steam", "titles")
 
 
 def by_subreddit(df: DataFrame) -> DataFrame:
@@ -66,7 +74,10 @@ def guard(df: DataFrame, least: int = 3) -> None:
 
 
 def discards(valid: DataFrame, rejects: DataFrame, samples: int = 3) -> DataFrame:
-    """(rejected, without_summary, sample of such titles)."""
-    lost = valid.where("summary is null")
-    some = lost.orderBy("pos").limit(samples).agg(F.collect_list("title").alias("titles"))
-    return rejects.agg(F.count("*").alias("rejected")).join(lost.agg(F.count("*").alias("without_summary"))).join(some)
+    """(kind, n, titles) of kinds rejected and without_summary: counts, and the first titles of the latter."""
+    lost, none = valid.where("summary is null"), F.array().cast("array<string>").alias("titles")
+    kind = lambda name: F.lit(name).alias("kind")
+    parts = rejects.agg(F.count("*").alias("n")).select(kind("rejected"), "n", none)
+    parts = parts.unionAll(lost.agg(F.count("*").alias("n")).select(kind("without_summary"), "n", none))
+    parts = parts.unionAll(_first_titles(lost, samples).select(kind("without_summary"), F.lit(0).cast("long").alias("n"), "titles"))
+    return parts.groupBy("kind").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("titles")).alias("titles"))

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests on one machine, a new local folder, which is then set."""
+    """spark.checkpoint.dir of the session; where it is unset and Spark runs on one machine, a
+    new local folder, which is then set. On a cluster a folder that all executors share is asked for."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-riffle-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

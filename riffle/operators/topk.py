@@ -13,6 +13,7 @@ from riffle.functions.dates import recency
 from riffle.functions.text import title_words
 from riffle.schema import is_generic
 
+from .tables import written
 
 
 def _order() -> list[Column]:
@@ -58,19 +59,19 @@ def score(now: Column, anchors: tuple[str, ...], featured: tuple[str, ...]) -> C
 def with_floor(df: DataFrame, points: Column, most: int = 60, floor: int = 8) -> DataFrame:
     """The `most` best rows, of which at least `floor` are reddit's if so many exist.
 
-    Both classes are cut to `most` first; only counts of those few rows reach the driver.
+    One pass: both classes are cut to their `most` best, and the rest looks at those rows only.
     """
     order = [F.col("_score").desc(), F.col("published_at").desc(), F.col("url").desc(), F.col("pos").asc()]
     scored = df.withColumn("_score", points)
     is_reddit = F.col("source_type") == "reddit"
-    n_reddit, n = df.select(F.count_if(is_reddit), F.count("*")).first()
+    few = written(scored.where(is_reddit).orderBy(*order).limit(most).unionByName(scored.where(~is_reddit).orderBy(*order).limit(most)), "floor")
+    n, n_reddit = few.select(F.count("*"), F.count_if(is_reddit)).first()  # of 2 * most rows at most
     if n <= most:
-        return df
-    top = scored.orderBy(*order).limit(most)
-    in_top = top.where(is_reddit).count()
+        return few.drop("_score")
+    in_top = few.orderBy(*order).limit(most).where(is_reddit).count()
     more = max(0, min(floor - in_top, n_reddit - in_top, most - in_top)) if floor > 0 else 0
-    reddit = scored.where(is_reddit).orderBy(*order).limit(in_top + more)
-    other = scored.where(~is_reddit).orderBy(*order).limit(most - in_top - more)
+    reddit = few.where(is_reddit).orderBy(*order).limit(in_top + more)
+    other = few.where(~is_reddit).orderBy(*order).limit(most - in_top - more)
     return reddit.unionByName(other).drop("_score")
 
 

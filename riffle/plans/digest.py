@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riffle.domain import DomainPack, Rules, Sources
-from riffle.operators import cluster, detect, enrich, filters, joins, reports, topic, topk
+from riffle.operators import cluster, dedup, detect, enrich, filters, joins, reports, topic, topk
 from riffle.operators.store import Store
 from riffle.operators.tables import written
 from riffle.schema import raw_reject_reason, split_valid
@@ -38,9 +38,9 @@ def select_items(raw: DataFrame, now: Column, sources: Sources, rules: Rules, pa
     clean = filters.without_patterns(young, sources.title_patterns, sources.url_patterns)
     reddit = reddit_as_rumors(clean.where("source_type = 'reddit'"), s.reddit_game)
     other = filters.without_excluded(clean.where("source_type <> 'reddit'"), rules.exclude)
-    topical = topic.on_topic(other, pack).unionByName(reddit)
-    matched = written(detect.assign_games(topical, rules, pack, s.generic, s.reddit_game).drop("match_reason").withColumn("relevance", F.lit(0)), "matched")
-    stories = written(cluster.representatives(matched, pack), "stories")
+    topical = topic.on_topic(other, pack, detect.rescued_name(F.col("title"), pack)).unionByName(reddit)
+    matched = written(detect.assign_games(topical, rules, pack, s.generic, s.reddit_game).withColumn("relevance", F.lit(0)), "matched")
+    stories = written(cluster.representatives(matched.drop("match_reason"), pack), "stories")
     capped = topk.per_game(stories, s.max_stories + s.pre_slack, (s.generic,), skip_reddit=True)
     featured = tuple(r.name for r in rules.include)
     ranked = written(topk.with_floor(capped, topk.score(now, pack.anchors, featured), s.to_model, s.reddit_floor), "ranked")
@@ -59,6 +59,12 @@ def run(spark: SparkSession, raw: DataFrame, now: Column, sources: Sources, rule
     return store.save(final, now, s.window_hours, s.published), reports.funnel(stages | {"enriched": items})
 
 
+def report(stages: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Of the stages of select_items: rows and first titles of each, and why names were matched."""
+    stats = dedup.union_all(*[reports.stage_stats(df, name) for name, df in stages.items()])
+    return {"stages": stats, "match_reasons": reports.histogram(stages["matched"], "match_reason")}
+
+
 def read(store: Store, game: str | None = None, section: str = "all") -> DataFrame:
     """The reader's query over the published rows, newest first."""
     rows = store.published()

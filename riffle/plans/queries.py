@@ -301,7 +301,7 @@ _SIG = f""", raw AS (SELECT pos, {S.normal_url('url')} AS url, CASE WHEN game =
 
 @query(_with(f"{_SIG} SELECT a, b FROM edges WHERE same_game"))
 def story_edges(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.story_edges(cluster.written(cluster.signatures(items_view(spark, d), PACK), "story-signatures"))
+    return cluster.story_edges(cluster.written(cluster.signatures(items_view(spark, d), PACK), "story-signatures")).select("a", "b")
 
 
 _LEADERS = _with(f"""{_SIG}, before AS (SELECT ob AS o, list(oa) AS prev FROM edges GROUP BY ob),
@@ -489,3 +489,6 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 def stream_user_windows(spark: SparkSession, d: str) -> DataFrame:
     got = _drained(spark, d, lambda s: stream.windowed(s, "ts", "12 hours", by=("user_id",)), "complete")
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
+
+
+from . import checked  # noqa: E402, F401  (adds its queries)

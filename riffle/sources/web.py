@@ -6,6 +6,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -13,15 +14,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 LONGEST_WAIT = 60.0
 
 
-def retry_delay(headers: dict[str, str], default: float = 5.0) -> float:
-    """Seconds that a 429 asks to wait: its reset header plus one, else Retry-After, within 1 to LONGEST_WAIT."""
-    low = {k.lower(): v for k, v in headers.items()}
-    for key, more in (("x-ratelimit-reset", 1.0), ("retry-after", 0.0)):
+def retry_delay(headers: dict[str, str], default: float = 5.0, now: Callable[[], float] = time.time) -> float:
+    """Seconds that a 429 asks to wait, within 1 to LONGEST_WAIT: until its token window is
+    full, plus one, else Retry-After, in seconds or as a date."""
+    low = {k.lower(): (v or "").strip() for k, v in headers.items()}
+    bound = lambda s: min(LONGEST_WAIT, max(1.0, s))
+    for key, more in (("x-ratelimit-reset-tokens", 1.0), ("x-ratelimit-reset", 1.0), ("retry-after", 0.0)):
         try:
-            return min(LONGEST_WAIT, max(1.0, float(low[key]) + more))
+            return bound(float(low[key]) + more)
         except (KeyError, ValueError):
             continue
-    return default
+    try:
+        return bound(parsedate_to_datetime(low["retry-after"]).timestamp() - now())
+    except (KeyError, ValueError, TypeError):
+        return default
 
 
 def fetch(url: str, timeout: float, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> tuple[int, bytes]:

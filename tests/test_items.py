@@ -121,7 +121,7 @@ def test_quotas(spark):
     ("title", "want"),
     [
         ("A Comet-like adventure", True), ("This is not Comet", True), ("It isn't Comet at all", True), ("Comet gets a map", False), ("No racing, no Comet", True),
-        ("No time, still playing Comet", False), ("Comet aside, a good week", True),
+        ("No time, still playing Comet", False), ("A Comet clone", True), ("Comet? Nah", True), ("Comet? No thanks", True), ("A game unlike Comet", True), ("It isn't Mars, Venus or Comet", True),
     ],
 )
 def test_reference_guard(title, want):
@@ -244,6 +244,7 @@ def test_http_retry():
 
     assert web.fetch("https://e.org", 1, opener, waits.append) == (200, b"x") and waits == [7.0]
     assert web.retry_delay({"x-ratelimit-reset": "200"}) == 60.0 and web.retry_delay({}) == 5.0
+    assert web.retry_delay({"Retry-After": "Thu, 01 Jan 1970 00:00:30 GMT"}, now=lambda: 10.0) == 20.0 and web.retry_delay({"x-ratelimit-reset-tokens": "2", "Retry-After": "9"}) == 3.0
 
 
 def _doc(*rows):
