@@ -292,18 +292,35 @@ def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield at, len(lengths)
 
 
-def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
+def _spellings(pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces' bytes in a row, and each one's start and length."""
+    size = np.array([len(x) for x in pieces.raw])
+    return np.frombuffer(b"".join(pieces.raw), np.uint8), np.cumsum(size) - size, size
+
+
+def _spell(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+    """The texts that ids spell, each between two bounds."""
+    flat, start, size = table
+    upto = np.concatenate([[0], np.cumsum(size[ids])])
+    text = flat[np.arange(upto[-1]) + np.repeat(start[ids] - upto[:-1], size[ids])].tobytes() if len(ids) else b""
+    at = upto[bounds]
+    return [text[x:y].removeprefix(b" ").decode("utf-8", "replace") for x, y in zip(at[:-1], at[1:])]
+
+
+def encode(docs: DataFrame, pieces: Pieces | None = None, check: bool = False) -> DataFrame:
     """docs with piece_ids array<int> and log_score, the best path's score.
 
     A null text has null piece_ids and log_score; an empty one has no pieces and score 0.
-    Texts are encoded whole. Columns of docs named piece_ids or log_score are replaced.
+    Texts are encoded whole. check adds round_trip: whether the pieces, decoded in the same
+    task, give the text back. Columns of docs with these names are replaced.
     """
     pieces = pieces or load(default_model())
-    kept = docs.drop("piece_ids", "log_score")
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # one model: its size is fixed
+    more = ["piece_ids", "log_score"] + ["round_trip"] * check
+    kept = docs.drop(*more)
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, _spellings(pieces)))  # one model: its size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(shared.value)
+        enc, table = Encoder(shared.value[0]), shared.value[1]
         for b in batches:
             at = b.schema.get_field_index("text")
             sizes = [x or 0 for x in pa.compute.binary_length(b.column(at)).to_pylist()]
@@ -313,9 +330,11 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
                 flat, bounds, cost = enc.encode([t or "" for t in texts])
                 null = np.array([t is None for t in texts], bool)
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat), mask=pa.array(null))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(cost, mask=null)], [*part.schema.names, "piece_ids", "log_score"])
+                same = [pa.array([x == (t or "") for x, t in zip(_spell(table, flat, bounds), texts)], pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(cost, mask=null), *same], [*part.schema.names, *more])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("log_score", T.DoubleType())])
+    added = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("log_score", T.DoubleType())] + [T.StructField("round_trip", T.BooleanType())] * check
+    schema = T.StructType([*kept.schema.fields, *added])
     return kept.mapInArrow(run, schema)
 
 
@@ -324,23 +343,16 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     in front goes, byte pieces become bytes (invalid UTF-8: U+FFFD). Null ids: null."""
     pieces = pieces or load(default_model())
     kept = encoded.drop("decoded")
-    raw = pieces.raw
-    size = np.array([len(x) for x in raw])
-    table = (np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size)
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    shared = encoded.sparkSession.sparkContext.broadcast(_spellings(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, start, size = shared.value
         for b in batches:
             col = b.column(b.schema.get_field_index("piece_ids"))
             sizes = [x or 0 for x in pa.compute.list_value_length(col).to_pylist()]
             for i, j in _slices(sizes, SLICE):
                 part, lists = b.slice(i, j - i), col.slice(i, j - i)
                 ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                upto = np.concatenate([[0], np.cumsum(size[ids])])
-                text = flat[np.arange(upto[-1]) + np.repeat(start[ids] - upto[:-1], size[ids])].tobytes() if len(ids) else b""
-                bounds = upto[np.concatenate([[0], np.cumsum(sizes[i:j])]).astype(np.int64)]
-                out = [text[x:y].removeprefix(b" ").decode("utf-8", "replace") for x, y in zip(bounds[:-1], bounds[1:])]
+                out = _spell(shared.value, ids, np.concatenate([[0], np.cumsum(sizes[i:j])]).astype(np.int64))
                 null = lists.is_null().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string(), mask=null)], [*part.schema.names, "decoded"])
 
