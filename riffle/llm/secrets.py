@@ -84,21 +84,42 @@ def hot_windows(s: str) -> list[tuple[int, int]]:
     return out
 
 
+def _between(a: int, b: int, cuts: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of a .. b outside the cuts."""
+    for x, y in sorted(cuts):
+        if x > a:
+            yield a, min(x, b)
+        a = max(a, y)
+        if a >= b:
+            return
+    yield a, b
+
+
 def entropy_spans(text: str, taken: Sequence[tuple[str, int, int]], allow: Sequence[re.Pattern]) -> list[tuple[str, int, int]]:
-    """Spans that the windows add: those apart from the spans taken and not allowed."""
+    """Spans that the windows add, beside the spans taken. An allowed string suppresses the
+    span it lies in; of a span with equals signs, only the side of the sign it lies on."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if not any("0" <= ch <= "9" for ch in s):
-            continue
-        for a, b in hot_windows(s):
-            a, b = a + m.start(), b + m.start()
-            if any(x < b and a < y for _, x, y in taken) or any(p.search(text, a, b) for p in allow):
-                continue
-            out.append(("entropy", a, b))
+        cuts = [(x, y) for _, x, y in taken if x < m.end() and m.start() < y]
+        for a, b in _between(*m.span(), cuts):
+            for x, y in _hot(text, a, b):
+                if not any(p.search(text, x, y) for p in allow):
+                    out.append(("entropy", x, y))
+                elif "=" in text[x:y]:
+                    signs = [(i, i + 1) for i in range(x, y) if text[i] == "="]
+                    sides = [_hot(text, *side) for side in _between(x, y, signs) if not any(p.search(text, *side) for p in allow)]
+                    out += [("entropy", *span) for side in sides for span in side]
     return out
 
 
+def _hot(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """hot_windows of text[a:b], in the text's positions. A window without a digit is never hot."""
+    s = text[a:b]
+    if len(s) < WINDOW or not any("0" <= ch <= "9" for ch in s):
+        return []
+    return [(a + x, a + y) for x, y in hot_windows(s)]
+
+
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _SPANS_SQL = "array<struct<kind: string, start: bigint, end: bigint>>"
 

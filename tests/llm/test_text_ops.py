@@ -68,6 +68,25 @@ def test_allow_list_and_plain_words():
     assert secrets.entropy_spans("thisisaverylongordinarywordinlowercase2 " + "a1" * 30, [], []) == []
 
 
+def test_a_key_beside_another_is_found():
+    allow = [re.compile(p) for p in secrets.ALLOW]
+    spans = lambda t: secrets.entropy_spans(t, secrets.base_spans(t), allow)
+    key = "AKIA" + "Q" * 16
+    for left, right in (("", ""), ("", "/x"), ("see ", " end")):
+        text = f"{left}{key}/{SECRET}{right}"
+        (kind, a, b) = spans(text)[0]
+        assert kind == "entropy" and a >= len(left) + len(key) and SECRET in text[a:b]
+    assert [SECRET in f"{'0a1b' * 6}={SECRET}"[a:b] for _, a, b in spans(f"{'0a1b' * 6}={SECRET}")] == [True]
+    # An allowed word hides its own side of an equals sign, not the other one.
+    named = f"myEXAMPLE1key2Name3Long4={SECRET}"
+    assert [named[a:b] for _, a, b in spans(named)] == [SECRET]
+    assert spans(f"{SECRET}EXAMPLEKEY") == []
+    # Two base spans, the outer one last to start: nothing between them is lost, nothing is found twice.
+    both = f"token={SECRET} {key}{key}/{SECRET}"
+    found = spans(both)
+    assert len(found) == 1 and SECRET in both[found[0][1] : found[0][2]] and found[0][1] > both.index(key)
+
+
 def test_redaction_keeps_rows_and_columns(docs_of):
     df = docs_of(list(enumerate(CASES)))
     got = {r.doc_id: r for r in secrets.redact(df).collect()}
