@@ -54,21 +54,28 @@ def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def permute(x: Column, n: int) -> Column:
-    """Position of row number x, 0 .. n-1, after the shuffle (WALK walks at most)."""
+    """Position of row number x, 0 .. n-1, after the shuffle.
+
+    A walk visits each of the a*b - n numbers beyond the rows once at most, so that many
+    steps always end it. Nearly every walk ends within WALK; only the others, about one
+    row in n**8, take the longer loop."""
     b = max(1, math.isqrt(max(n - 1, 0)) + 1)
     a = max(1, -(-n // b))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(WALK)),
-        feistel(x, a, b),
-        lambda p, _: F.when(p < F.lit(n), p).otherwise(feistel(p, a, b)),
-    )
+
+    def walk(start: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), start, lambda p, _: F.when(p < F.lit(n), p).otherwise(feistel(p, a, b)))
+
+    beyond = a * b - n
+    short = walk(feistel(x, a, b), min(WALK, beyond))
+    return short if beyond <= WALK else _bind(short, lambda p: F.when(p < F.lit(n), p).otherwise(walk(p, beyond)))
 
 
 def number_rows(df: DataFrame, keys: list[str], name: str = "row_no") -> DataFrame:
     """Gapless row numbers from 0 in the order of keys, without one global sort task.
 
     Rows are dealt into ranges of the keys and staged once; the ranges' counts give each
-    its first number. Rows equal in all keys get their numbers in any order.
+    its first number. Rows equal in all keys get their numbers in any order, and
+    all in one range.
     """
     n = df.count()
     parts = max(1, -(-n // RANGE), min(64, n // 20_000))
@@ -94,13 +101,14 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     slim = staged(
         docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32")), "slim"
     )
+    # Rows equal in all three are dealt on by their place in the staged files: they may change
+    # places without changing the result, and however many there are, no range holds them all.
+    slim = slim.select("*", F.col("_metadata.row_index").alias("_place"))
     n = slim.count()
     if n >= 1 << 62:
         raise ValueError("row numbers beyond 62 bits")
-    rows = number_rows(slim, ["doc_id", "text_crc32", "size"])
+    rows = number_rows(slim, ["doc_id", "text_crc32", "size", "_place"])
     placed = rows.withColumn("_p", permute(F.col("row_no"), n))
-    # Walking further is needed with a chance of about n**-8; the assertion makes it visible.
-    placed = placed.withColumn("_p", F.when(F.col("_p") < n, F.col("_p")).otherwise(F.raise_error("cycle walk not ended").cast("long")))
     return placed.select(
         "doc_id", "size", "text_crc32", "row_no",
         (F.col("_p") % shards).cast("int").alias("shard"),

@@ -100,10 +100,13 @@ def _feistel(x, a, b):
     return left * b + right
 
 
+@pytest.mark.parametrize("walk", [16, 1])
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 16, 100, 1001])
-def test_permutation(spark, n):
+def test_permutation(spark, n, walk, monkeypatch):
+    """With a first walk of one step the longer loop ends the rest."""
     import math
 
+    monkeypatch.setattr(sharding, "WALK", walk)
     got = [r.p for r in spark.range(n).coalesce(1).select(sharding.permute(F.col("id"), n).alias("p")).collect()]
     assert sorted(got) == list(range(n))
     b = math.isqrt(max(n - 1, 0)) + 1
@@ -115,6 +118,18 @@ def test_permutation(spark, n):
         assert x == p
 
 
+def test_equal_rows_are_dealt_on(docs_of, monkeypatch):
+    """Many rows equal in all columns fill several ranges and have slots of their own."""
+    monkeypatch.setattr(sharding, "RANGE", 500)
+    ranges = []
+    window = sharding.staged
+    monkeypatch.setattr(sharding, "staged", lambda df, name: ranges.append(window(df, name)) or ranges[-1])
+    got = sharding.shard(docs_of([(None, None)] * 4000 + [(i, "x") for i in range(100)]).repartition(2)).collect()
+    assert sorted((r.shard, r.slot) for r in got) == sorted((p % 16, p // 16) for p in range(4100))
+    sizes = [r["count"] for r in next(r for r in ranges if "_part" in r.columns and "doc_id" in r.columns).groupBy("_part").count().collect()]
+    assert max(sizes) < 1500
+
+
 def test_shards(docs_of, monkeypatch):
     rows = [(i % 400, f"text {i % 300} é" * (i % 3)) for i in range(1500)] + [(None, None), (None, ""), (5, "long " * 40_000)]
     first = sharding.shard(docs_of(rows)).collect()
