@@ -491,4 +491,4 @@ def stream_user_windows(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 
-from . import checked  # noqa: E402, F401  (adds its queries)
+from . import checked, checked_state  # noqa: E402, F401  (add their queries)

@@ -94,7 +94,7 @@ def read_rss(spark: SparkSession, feed: Landed, now: Column) -> DataFrame:
     return _item(df, feed, now, {
         "title": F.trim("title"), "url": F.trim("link"), "published_at": resolve(_iso(F.col("pubDate")), _iso(F.col("updated")), now),
         "body_text": F.col("description"), "image_url": image, "author": optional_text(F.col("author")),
-        "feed_categories": F.coalesce(F.filter(F.transform("category", F.trim), lambda c: c != ""), F.array().cast("array<string>")),
+        "feed_categories": F.coalesce(F.filter(F.transform("category", lambda c: F.trim(c)), lambda c: c != ""), F.array().cast("array<string>")),
     })
 
 
@@ -112,6 +112,7 @@ def read_atom(spark: SparkSession, feed: Landed, now: Column) -> DataFrame:
     return _item(df, feed, now, {
         "title": F.trim("title"), "url": F.trim(link), "published_at": resolve(_iso(F.col("published")), _iso(F.col("updated")), now),
         "body_text": text, "image_url": image, "author": F.coalesce(optional_text(F.col("author.name")), optional_text(F.col("author.email"))),
+        "language": F.lit(None if feed.kind == "reddit" else feed.language),
         "feed_categories": F.array().cast("array<string>") if feed.kind == "reddit" else F.coalesce(F.array_compact(terms), F.array().cast("array<string>")),
     })
 
