@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BREAKS = frozenset("address article blockquote br div dl dt dd figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
+BREAKS = frozenset("address article blockquote br div dl dt dd figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
 
 
 class _Text(HTMLParser):
@@ -23,13 +23,13 @@ class _Text(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.hidden += tag in ("script", "style")
-        if tag in _BREAKS:
+        if tag in BREAKS:
             self.parts.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
-        if tag in _BREAKS:
+        if tag in BREAKS:
             self.parts.append("\n")
 
     def handle_data(self, data: str) -> None:

@@ -106,6 +106,13 @@ def check(raw: str, source_type: str) -> dict:
     return got
 
 
+def answer_format() -> dict:
+    """The strict output schema of an answer, as a chat endpoint takes it."""
+    text = {"type": "string"}
+    fields = {"summary": text, "relevance": {"type": "integer", "enum": [1, 2, 3, 4, 5]}, "category": text | {"enum": list(CATEGORIES)}, "language": text | {"enum": list(LANGUAGES)}, "game": text}
+    return {"type": "json_schema", "json_schema": {"name": "item", "strict": True, "schema": {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}}}
+
+
 @dataclass
 class Chat:
     """Provider over a chat endpoint; post(payload) returns (status, headers, text).
@@ -126,7 +133,7 @@ class Chat:
     def payload(self, title: str, body: str, language: str | None, game: str, source_type: str) -> dict:
         text = f"Answer with one JSON object with summary, relevance, category, language and game.\nGame: {game}\nTitle: {title}\nText: {body[:800]}"
         out = {"model": self.model, "messages": [{"role": "user", "content": text}]}
-        return out | {"response_format": {"type": "json_object"}} if self.schema else out
+        return out | {"response_format": answer_format()} if self.schema else out
 
     def answer(self, title: str, body: str, language: str | None, game: str, source_type: str) -> str:
         row, waits, bad = (title, body, language, game, source_type), 0, 0
@@ -198,7 +205,8 @@ def strip_py(raw: str) -> str:
 
 def call_model(misses: DataFrame, make: Callable[[], Fallback]) -> DataFrame:
     """(pos, raw): the provider's answer for each row, null where it failed. The state of
-    fallback lives in a task's iterator; the result must be written before it is used twice."""
+    fallback lives in a task's iterator; the result must be written before it is used twice.
+    A task that is lost and run again asks for its rows again."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
@@ -253,7 +261,7 @@ def enriched(df: DataFrame, generic: str) -> DataFrame:
 
 
 def enrich(df: DataFrame, cache: DataFrame, make: Callable[[], Fallback], generic: str = "General") -> DataFrame:
-    """All rows of df as items: cached answers are reused, every miss asks the model once."""
+    """All rows of df as items: cached answers are reused, every miss asks the model once (again if its task is lost)."""
     hits = with_cache(df, cache).where("hit")
     known = hits.select(*df.columns, F.struct(*[F.col(f"ai_{c}").alias(c) for c in ("summary", "relevance", "category", "language", "game")]).alias("ai"), F.lit("cache").alias("outcome"))
     misses = cache_misses(df, cache)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -81,11 +81,24 @@ def item_json() -> Column:
 
 
 def document(items: DataFrame, generated_at: Column) -> DataFrame:
-    """One row (value): the JSON document of the items, newest first. Meant for published
-    rows, which retention has bounded."""
-    lines = items.select(F.struct((-F.unix_micros("published_at")).alias("t"), "pos", item_json().alias("j")).alias("r"))
-    news = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["j"]), ","), F.lit("]"))
-    return lines.agg(F.concat(F.lit('{"generated_at":"'), to_iso(generated_at), F.lit('","total":'), F.count("*").cast("string"), F.lit(',"news":'), news, F.lit("}")).alias("value"))
+    """Pieces (value) of the JSON document of the items, newest first, in one sorted partition:
+    written one after the other they are the document, and no task holds it whole."""
+    nth = Window.orderBy(F.desc("published_at"), "pos")
+    rows = items.select(F.row_number().over(nth).cast("long").alias("n"), item_json().alias("value"))
+    rows = rows.select("n", F.concat(F.when(F.col("n") > 1, ",").otherwise(""), "value").alias("value"))
+    total = items.agg(F.count("*").alias("total"))
+    head = total.select(F.lit(0).cast("long").alias("n"), F.concat(F.lit('{"generated_at":"'), to_iso(generated_at), F.lit('","total":'), F.col("total").cast("string"), F.lit(',"news":[')).alias("value"))
+    foot = items.sparkSession.range(1).select((F.lit(1 << 62) + F.col("id")).alias("n"), F.lit("]}").alias("value"))
+    return head.unionByName(rows).unionByName(foot).repartition(1).sortWithinPartitions("n").select("value")
+
+
+def write_document(items: DataFrame, generated_at: Column, path: str) -> None:
+    """The document as one file of one line; a blank stands between its rows."""
+    document(items, generated_at).write.option("lineSep", " ").text(path)
+
+
+class Conflict(RuntimeError):
+    """Another run stored its version at the same time; this one must be saved again, on top of it."""
 
 
 class Store:
@@ -99,7 +112,8 @@ class Store:
             rows = self.spark.read.schema(POINTER).parquet(f"{self.base}/pointer")
         except AnalysisException:
             return None
-        return rows.orderBy(F.desc("seq")).first()
+        # Of runs that took the same number, the one that readers see is always the same.
+        return rows.orderBy(F.desc("seq"), "history").first()
 
     def _table(self, name: str) -> DataFrame | None:
         last = self._last()
@@ -111,15 +125,27 @@ class Store:
     def published(self) -> DataFrame | None:
         return self._table("published")
 
+    def _point(self, base, version: str) -> None:
+        """Name version as the one after base. Where another run has come between, or takes the
+        same number at the same time, the run that isn't named raises Conflict: nothing is lost silently."""
+        last = self._last()
+        if (last and last["history"]) != (base and base["history"]):
+            raise Conflict(self.base)
+        row = (base["seq"] + 1 if base else 0, *(f"{version}/{x}" for x in ("history", "published", "document")))
+        self.spark.createDataFrame([row], POINTER).coalesce(1).write.mode("append").parquet(f"{self.base}/pointer")
+        if self._last()["history"] != row[1]:
+            raise Conflict(self.base)
+
     def save(self, new: DataFrame, now: Column, window_hours: float = 24, published_most: int = 200, history_hours: float = 30 * 24, history_most: int = 2000, publish_cap: int | None = None, seed: DataFrame | None = None) -> DataFrame:
         """Merge new items (pos and the columns of ITEMS) into the history and publish.
 
         Without a history `seed`, such as a document's valid rows, stands in. Each branch
         has its own retention; publish_cap bounds the published rows per game. Returns
-        the published rows. Saving the same rows again changes nothing but the version.
+        the published rows. Saving the same rows again changes nothing but the version. A run
+        that stored between this one's reading and its end makes it raise Conflict.
         """
-        old = self.history()
-        old = old if old is not None else seed
+        base = self._last()
+        old = self.spark.read.parquet(base["history"]) if base else seed
         merged = new if old is None else upsert(old.select(new.columns), new)
         version = f"{self.base}/versions/{uuid.uuid4().hex}"
         merged.write.parquet(f"{version}/merged")
@@ -127,10 +153,8 @@ class Store:
         retain(merged, now, history_hours, history_most).write.parquet(f"{version}/history")
         retain(merged, now, window_hours, published_most, publish_cap, publish_cap).write.parquet(f"{version}/published")
         published = self.spark.read.parquet(f"{version}/published")
-        document(published, now).coalesce(1).write.text(f"{version}/document")
-        last = self._last()
-        row = ((last["seq"] + 1) if last else 0, *(f"{version}/{x}" for x in ("history", "published", "document")))
-        self.spark.createDataFrame([row], POINTER).write.mode("append").parquet(f"{self.base}/pointer")
+        write_document(published, now, f"{version}/document")
+        self._point(base, version)
         return newest_first(published)
 
 

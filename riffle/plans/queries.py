@@ -365,7 +365,13 @@ def first_image(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", markup.first_image(F.col("html")).alias("image"))
 
 
-@query()
+_LINES = "|".join(sorted(markup.BREAKS))
+
+
+@query(f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->|<![^>]*>', '', 'gs'), '<(script|style)\\b[^>]*>.*?</(script|style)>', '', 'gs') AS h FROM pages),
+  b AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?({_LINES})\\b[^>]*>', chr(10), 'g'), '<[/a-z][^>]*>', '', 'g') AS h FROM a),
+  c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g') AS h FROM b)
+  SELECT page_id, nullif(array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)), '') AS text FROM c""")
 def html_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", markup.strip_html("html").alias("text"))
 

@@ -63,7 +63,7 @@ def _iso(c: Column) -> Column:
 
 def _order(df: DataFrame) -> DataFrame:
     """Rows of one file in their order there, as pos from 0 within the feed."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy("_file").orderBy("_row")) - 1)
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy("_file").orderBy("_row")).cast("long") - 1)
 
 
 def _rows(spark: SparkSession, feed: Landed, tag: str, schema: str) -> DataFrame:

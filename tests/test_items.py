@@ -293,6 +293,37 @@ def test_store_merges_publishes_and_is_idempotent(spark, tmp_path):
     assert digest.read(st, "g", "rumors").count() == 1 and digest.read(st, "g", "news").count() == 0
 
 
+def test_a_run_between_is_a_conflict(spark, tmp_path, monkeypatch):
+    st = store.Store(spark, f"file://{tmp_path}/state")
+    st.save(_items(spark, [{}]), now())
+    before, first = st._last(), st.published().collect()
+    ends = store.write_document
+
+    def meanwhile(*args):
+        ends(*args)
+        monkeypatch.undo()
+        st.save(_items(spark, [{}, {}]), now())
+
+    monkeypatch.setattr(store, "write_document", meanwhile)
+    with pytest.raises(store.Conflict):
+        st.save(_items(spark, [{}, {}, {}]), now())
+    assert st._last()["seq"] == before["seq"] + 1 and st.published().count() == 2 and len(first) == 1
+    # Two rows of one number: all readers see the same one, and the other run is told.
+    spark.createDataFrame([(2, "a", "a", "a")], store.POINTER).write.mode("append").parquet(f"{st.base}/pointer")
+    spark.createDataFrame([(2, "b", "b", "b")], store.POINTER).write.mode("append").parquet(f"{st.base}/pointer")
+    assert st._last()["history"] == "a"
+
+
+def test_document_of_nothing_and_of_ties(spark, tmp_path):
+    for n in (0, 3):
+        path = f"file://{tmp_path}/document{n}"
+        store.write_document(_items(spark, [{}] * n), now(), path)
+        lines = spark.read.text(path).collect()
+        doc = json.loads(lines[0]["value"])
+        assert len(lines) == 1 and doc["total"] == n and [r["title"] for r in doc["news"]] == [f"t{i}" for i in range(n)]
+        assert store.read_document(spark, path).count() == n
+
+
 class Flaky:
     def __init__(self, outs):
         self.outs = list(outs)
@@ -319,6 +350,8 @@ def test_chat_provider():
     chat = enrich.Chat(lambda p: (sent.append(p), outs.pop(0))[1], "m", sleep=slept.append)
     assert chat.answer("t", "b", "en", "g", "media") == '{"summary": "s"}'
     assert slept == [3.0] and "response_format" in sent[0] and "response_format" not in sent[2]
+    schema = sent[0]["response_format"]["json_schema"]
+    assert schema["strict"] and set(schema["schema"]["required"]) == set(schema["schema"]["properties"]) == {"summary", "relevance", "category", "language", "game"}
     with pytest.raises(enrich.Unreachable):
         chat.answer("t", "b", "en", "g", "media")
 
