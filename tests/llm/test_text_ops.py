@@ -243,3 +243,82 @@ def test_digests_match_the_contract(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
         base = ",".join(f"{k}:{a}:{b}" for k, a, b in _plain_base(r.text))
         assert rows[r.doc_id].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
+def _plain_tree(g, h):
+    """Best first: cut the part whose best cut gains most, until there are four."""
+    parts = [(0, len(g))]
+    worth = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + quality_gam.RIDGE)
+    while len(parts) < 4:
+        cuts = [(worth(a, i) + worth(i, b) - worth(a, b), a, i, b) for a, b in parts for i in range(a + 1, b)]
+        best = max(cuts, key=lambda c: c[0], default=(0.0,))
+        if best[0] <= 1e-9:
+            break
+        _, a, i, b = best
+        parts.remove((a, b))
+        parts += [(a, i), (i, b)]
+    return {k: sum(g[a:b]) / (sum(h[a:b]) + quality_gam.RIDGE) for a, b in parts for k in range(a, b)}
+
+
+def _plain_quadrants(g, h):
+    best, out = 0.0, None
+    for i in range(1, len(g)):
+        for j in range(1, len(g[0])):
+            parts = [[(r, c) for r in rows for c in cols] for rows in (range(i), range(i, len(g))) for cols in (range(j), range(j, len(g[0])))]
+            sums = [(sum(g[r][c] for r, c in p), sum(h[r][c] for r, c in p) + quality_gam.RIDGE) for p in parts]
+            gain = sum(a * a / b for a, b in sums)
+            if gain > best:
+                best, out = gain, {cell: a / b for p, (a, b) in zip(parts, sums) for cell in p}
+    return best, out or {}
+
+
+def test_quality_scores_equal_a_plain_model(spark, docs_of, monkeypatch):
+    """Boosted one row and one bin at a time, and scored by looking up one bin after another."""
+    for name, value in (("ROUNDS", 4), ("PAIR_ROUNDS", 2), ("PAIRS", 2), ("BINS", 8), ("PAIR_BINS", 3)):
+        monkeypatch.setattr(quality_gam, name, value)
+    rows, labels = _quality_rows(120)
+    got = {r.doc_id: r.score for r in quality_gam.classify(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    x = {d: quality_gam.features(t) for d, t in rows}
+    y = {d: q for d, q, _ in labels if zlib.crc32(str(d).encode()) % 4 != 2}
+
+    def cuts(j, bins):
+        v, out = sorted(x[d][j] for d in y), set()
+        for k in range(1, bins):
+            at = k / bins * (len(v) - 1)
+            low = int(at)
+            out.add(v[low] + (at - low) * (v[min(low + 1, len(v) - 1)] - v[low]))
+        return sorted(out)
+
+    place = lambda cut, v: sum(c <= v + 1e-12 * abs(v) for c in cut)
+    n = len(quality_gam.FEATURES)
+    fine, coarse = ([cuts(j, b) for j in range(n)] for b in (8, 3))
+    bins = {d: [place(fine[j], x[d][j]) for j in range(n)] for d in x}
+    cells = {d: [place(coarse[j], x[d][j]) for j in range(n)] for d in x}
+    total = dict.fromkeys(x, math.log((sum(y.values()) + 1) / (len(y) - sum(y.values()) + 1)))
+    p = lambda d: 1 / (1 + math.exp(-total[d]))
+    for _ in range(4):
+        for j in range(n):
+            g, h = [0.0] * (len(fine[j]) + 1), [0.0] * (len(fine[j]) + 1)
+            for d in y:
+                g[bins[d][j]] += y[d] - p(d)
+                h[bins[d][j]] += p(d) * (1 - p(d))
+            tree = _plain_tree(g, h)
+            for d in x:
+                total[d] += quality_gam.STEP * tree[bins[d][j]]
+
+    def quadrants(i, j):
+        g, h = ([[0.0] * (len(coarse[j]) + 1) for _ in range(len(coarse[i]) + 1)] for _ in range(2))
+        for d in y:
+            g[cells[d][i]][cells[d][j]] += y[d] - p(d)
+            h[cells[d][i]][cells[d][j]] += p(d) * (1 - p(d))
+        return _plain_quadrants(g, h)
+
+    gains = sorted(((-quadrants(i, j)[0], i, j) for i in range(n) for j in range(i + 1, n)))
+    for _ in range(2):
+        for gain, i, j in gains[:2]:
+            if gain < 0:
+                tree = quadrants(i, j)[1]
+                for d in x:
+                    total[d] += quality_gam.STEP * tree.get((cells[d][i], cells[d][j]), 0.0)
+    for d in x:
+        assert got[d] == pytest.approx(p(d), abs=1e-9), d
