@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_permutation, embedding_ego, html_tree, lm_pitman_yor, mixing, quality_gam, secrets, sentencepiece, sharding, simhash_vptree
+from . import ann_permutation, byte_bpe, embedding_ego, html_tree, lm_pitman_yor, mixing, quality_gam, secrets, sentencepiece, sharding, simhash_vptree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_ego.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def _by_start(x, y):
     order = F.array(*[F.lit(k) for k in secrets.KINDS])
     rank = lambda s: s["start"] * 8 + F.array_position(order, s["kind"])
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_gam": op8_quality_gam,
     "op9_html_tree": op9_html_tree,
     "op10_ego_join": op10_ego_join,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 _OP3_SQL = r"""
