@@ -8,11 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def finite(name: str = "embedding") -> Column:
+    """True for vectors all of whose components are finite numbers, the vector without components among them."""
+    v = F.col(name)
+    return F.coalesce(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))), F.lit(False))
+
+
 def usable(name: str = "embedding") -> Column:
     """True for vectors with finite components of which one at least isn't zero."""
-    v = F.col(name)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce(finite(name) & F.exists(name, lambda x: x != 0), F.lit(False))
 
 
 def matrix(col: pa.Array, dim: int) -> np.ndarray:
