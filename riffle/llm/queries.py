@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_permutation, byte_bpe, embedding_ego, html_tree, lm_pitman_yor, mixing, quality_gam, secrets, sentencepiece, sharding, simhash_vptree, whitening
+from . import ann_permutation, byte_bpe, conversation_repair, embedding_ego, html_tree, lm_pitman_yor, mixing, quality_gam, secrets, sentencepiece, sharding, simhash_vptree, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_ego.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(said), said)
+
+
 def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_gam": op8_quality_gam,
     "op9_html_tree": op9_html_tree,
     "op10_ego_join": op10_ego_join,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_lanczos_whitening": op12_lanczos_whitening,
     "op13_byte_bpe": op13_byte_bpe,
 }
