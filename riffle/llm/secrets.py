@@ -95,13 +95,29 @@ def _between(a: int, b: int, cuts: Sequence[tuple[int, int]]) -> Iterator[tuple[
     yield a, b
 
 
+def _merged(spans: Sequence[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Disjoint parts that the spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for _, x, y in sorted(spans, key=lambda s: s[1]):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
+
+
 def entropy_spans(text: str, taken: Sequence[tuple[str, int, int]], allow: Sequence[re.Pattern]) -> list[tuple[str, int, int]]:
     """Spans that the windows add, beside the spans taken. An allowed string suppresses the
-    span it lies in; of a span with equals signs, only the side of the sign it lies on."""
-    out = []
+    span it lies in; of a span with equals signs, only the side of the sign it lies on.
+    Candidates and taken spans are both in order and walked together."""
+    out, fixed, at = [], _merged(taken), 0
     for m in _CANDIDATE.finditer(text):
-        cuts = [(x, y) for _, x, y in taken if x < m.end() and m.start() < y]
-        for a, b in _between(*m.span(), cuts):
+        while at < len(fixed) and fixed[at][1] <= m.start():
+            at += 1
+        to = at
+        while to < len(fixed) and fixed[to][0] < m.end():
+            to += 1
+        for a, b in _between(*m.span(), fixed[at:to]):
             for x, y in _hot(text, a, b):
                 if not any(p.search(text, x, y) for p in allow):
                     out.append(("entropy", x, y))
@@ -109,6 +125,7 @@ def entropy_spans(text: str, taken: Sequence[tuple[str, int, int]], allow: Seque
                     signs = [(i, i + 1) for i in range(x, y) if text[i] == "="]
                     sides = [_hot(text, *side) for side in _between(x, y, signs) if not any(p.search(text, *side) for p in allow)]
                     out += [("entropy", *span) for side in sides for span in side]
+        at = max(at, to - 1)
     return out
 
 
