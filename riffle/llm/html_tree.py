@@ -14,8 +14,9 @@ import math
 import random
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +37,8 @@ _WHOLE = frozenset(("article", "main", "body", "html"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown.
 _HIDDEN = frozenset("head script style noscript template svg iframe object canvas audio video math".split())
+#: Of another language than HTML: only here does a slash end an element at its start tag.
+_FOREIGN = frozenset(("svg", "math"))
 _RAW = frozenset("script style textarea title noscript iframe template".split())
 #: What may stand in a head; anything else ends it, as text does.
 _IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
@@ -52,12 +55,32 @@ _AGAINST = frozenset(
     "sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
 _FOR = frozenset("article articlebody body content entry main post story text".split())
-#: A quote quotes only right after an equals sign.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: What stands in a tag after its name: a quote quotes only right after an equals sign.
+_REST = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
+#: A comment: empty, or up to --> or --!>.
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+_TAG = re.compile(rf"{_COMMENT}|<(/?)([a-zA-Z][^\s/>]*)({_REST})(?:>|\Z)|<(?:[!?]|/[^a-zA-Z>])[^>]*(?:>|\Z)|</>", re.S)
+#: A slash at the end of a tag that isn't the last character of a value without quotes.
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>][^\s>]*/\Z")
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LABEL = re.compile(r"data-label=\"([01])\"")
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z){_REST}(?:>|\Z)", re.I | re.S)
+
+
+def _after_raw(source: str, tag: str, at: int) -> tuple[int, int]:
+    """Where the raw text from `at` ends, and its end tag; without one both at the page's end."""
+    stop = _raw_end(tag).search(source, at)
+    return stop.span() if stop else (len(source), len(source))
+
+
+def _self_closed(attributes: str) -> bool:
+    return attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes)
+
+
 def _head_end(source: str, at: int) -> int:
     """Where the head whose start tag ends at `at` ends."""
     while True:
@@ -74,19 +97,18 @@ def _head_end(source: str, at: int) -> int:
         elif tag not in _IN_HEAD:
             return m.start()
         at = m.end()
-        if not m[1] and tag in _RAW_IN_HEAD and not m[3].endswith("/"):
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = stop.end() if stop else len(source)
+        if not m[1] and tag in _RAW_IN_HEAD:
+            at = _after_raw(source, tag, at)[1]
 
 
 def _ends(source: str, tag: str) -> dict[int, int]:
     """Where the element of each start tag that has an end tag ends, nested ones counted."""
     out, open_ = {}, []
-    for m in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])[^>]*>", re.I | re.S).finditer(source):
+    for m in re.compile(rf"{_COMMENT}|<(/?){tag}(?=[\s/>])({_REST})>", re.I | re.S).finditer(source):
         if m[1]:
             if open_:
                 out[open_.pop()] = m.end()
-        elif m[1] is not None and not m[0].endswith("/>"):
+        elif m[1] is not None and not (tag in _FOREIGN and _self_closed(m[2])):
             open_.append(m.start())
     return out
 
@@ -116,18 +138,24 @@ class Dom:
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
         links, at = 0, 0
-        opened: dict[str, int] = defaultdict(int)  # by tag: what isn't open isn't looked for
+        # Where on the stack the open elements of each tag are, and those that aren't inline: nothing is searched.
+        places: dict[str, list[int]] = defaultdict(list)
+        kinds: list[int] = []
         ends: dict[str, dict[int, int]] = {}
 
         def close(to: int) -> None:
             nonlocal links
             while len(stack) > to:
                 tag, _ = stack.pop()
-                opened[tag] -= 1
+                places[tag].pop()
                 links -= tag == "a"
                 if tag in KIND:
+                    kinds.pop()
                     self.events.append(None)
 
+        def innermost(tags: Iterable[str]) -> int:
+            return max((places[t][-1] for t in tags if places[t]), default=0)
+
         end = len(source)
         while at < end:
             m = _TAG.search(source, at)
@@ -140,42 +168,30 @@ class Dom:
                 continue
             tag = m[2].lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
+                if places[tag]:
+                    close(places[tag][-1])
                 continue
-            if tag in _HIDDEN and not m[3].endswith("/"):
+            if tag in _HIDDEN and not (tag in _FOREIGN and _self_closed(m[3])):
                 # Its end tag ends it; without one raw text runs to the page's end, and of others only the tag is hidden.
                 if tag == "head":
                     at = _head_end(source, at)
                     continue
                 if tag in _RAW:
-                    stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                    at = stop.end() if stop else end
+                    at = _after_raw(source, tag, at)[1]
                 else:
                     if tag not in ends:
                         ends[tag] = _ends(source, tag)
                     at = ends[tag].get(m.start(), at)
                 continue
-            if tag in _CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1) if opened["p"] else ():
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in KIND:
-                        break
-            for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in _CLOSES.get(tag, ())) else ():
-                if stack[k][0] in _CLOSES[tag]:
-                    close(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
+            if tag in _CLOSES_P and kinds and stack[kinds[-1]][0] == "p":
+                close(kinds[-1])
+            if tag in _CLOSES and (k := innermost(_CLOSES[tag])) > innermost(_SCOPE):
+                close(k)
             if tag in KIND:
                 self.events.append(None)
             elif tag in ("br", "wbr"):
                 self._text(stack[-1][1], " " if tag == "br" else "", links > 0)
-            if tag in _VOID or m[3].endswith("/") and tag not in KIND:
+            if tag in _VOID or tag in _HIDDEN:
                 continue
             self.parent.append(stack[-1][1])
             self.kind.append(KIND.get(tag, "inline"))
@@ -184,14 +200,16 @@ class Dom:
             self.label.append(x[1] if (x := _LABEL.search(m[3])) else "")
             self.chars.append(0)
             self.linked.append(0)
+            places[tag].append(len(stack))
+            if tag in KIND:
+                kinds.append(len(stack))
             stack.append((tag, len(self.parent) - 1))
-            opened[tag] += 1
             links += tag == "a"
             if tag in _RAW:
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                self._text(stack[-1][1], source[at : stop.start() if stop else end], False)
+                stop, at_end = _after_raw(source, tag, at)
+                self._text(stack[-1][1], source[at:stop], False)
                 close(len(stack) - 1)
-                at = stop.end() if stop else end
+                at = at_end
 
     def look(self, i: int) -> tuple:
         """The features of element i: (name, value) pairs."""
@@ -244,7 +262,8 @@ def marginals(dom: Dom, p: Potentials) -> list[float]:
     """Probability of content of each element, by messages up and down the tree."""
     n = len(dom.parent)
     even, even_step = (0.5, 0.5), ((0.5, 0.5), (0.5, 0.5))
-    own = [[1.0, 0.0]]  # the page itself isn't content
+    # The page itself isn't content, unless nothing in it has a block of its own.
+    own = [[1.0, 0.0] if any(k != "inline" for k in dom.kind[1:]) else [0.0, 1.0]]
     for i in range(1, n):
         a = b = 1.0
         for f in dom.look(i):

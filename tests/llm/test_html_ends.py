@@ -26,6 +26,28 @@ def test_an_unclosed_element_keeps_the_rest(tag):
     assert _text(f"<p>one</p><{tag} width=1><p>no</p></{tag}><p>two</p>") == "one two"
 
 
+@pytest.mark.parametrize("between", ["<!-->", "<!--->", "<!-- x --!>", "<!---->", "<!-- a -- b > c -->", "<?x y>", "</ x>", "</>", "<script>no</script x>", "<script>no</script/>", "<script>no</SCRIPT\n>",
+    "<script src='a'/>no</script>", "<script src=/a/>no</script>", "<script/>no</script>", "<style/>no</style>", "<style>no</style a='>'>", "<svg width=1 />", "<math/>", "<svg width=1/>no</svg>", "<svg><svg/>no</svg>", "<canvas/>no</canvas>"])
+def test_what_stands_between_costs_no_paragraph(between):
+    """Ends as browsers see them: the second paragraph stays and no script is printed."""
+    p = html_tree.train(html_tree.labelled_pages())
+    first, second = "the first paragraph of the article, long enough", "and the second one, which must not be lost"
+    page = f"<body><nav><a href=/>home</a></nav><article><p>{first}</p>{between}<p>{second}</p></article></body>"
+    assert html_tree.main_text(page, p) == f"{first}\n{second}"
+
+
+@pytest.mark.parametrize("head", ["<script/>no</script>", "<title>no</title x>", "<style a=b/>no</style/>"])
+def test_raw_text_in_a_head(head):
+    assert _text(f"<head>{head}<p>one two") == "one two"
+
+
+def test_a_page_without_elements_is_its_text():
+    p = html_tree.train(html_tree.labelled_pages())
+    assert html_tree.main_text("Only  text &amp;\n no tags", p) == "Only text & no tags"
+    assert html_tree.main_text("Only <b>inline</b> <i/>tags", p) == "Only inline tags"
+    assert html_tree.main_text("", p) == html_tree.main_text("<p></p>", p) == ""
+
+
 def test_raw_text_runs_to_the_end():
     assert _text("<p>one</p><script>var a = '<p>no</p>'") == "one"
 
@@ -51,6 +73,17 @@ def test_time_grows_with_the_page(part):
     assert took[1] < 30 * took[0] + 0.3
 
 
+@pytest.mark.parametrize("parts", [("<li><div>", "<b>", "<li>x</li>"), ("<p>", "<b>", "<p>x"), ("<table>", "<i>", "<td>x"), ("<dl>", "<u>", "<dt>x<dd>y")])
+def test_elements_in_a_deep_nest_of_inline_ones(parts):
+    p = html_tree.train(html_tree.labelled_pages(20))
+    took = []
+    for n in (3_000, 24_000):
+        began = time.process_time()
+        html_tree.main_text(parts[0] + parts[1] * n + parts[2] * n, p)
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 0.3
+
+
 def test_a_page_of_megabytes():
     p = html_tree.train(html_tree.labelled_pages())
     paragraphs = [f"word {i} and more words of an article that goes on and on" for i in range(60_000)]
