@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 
 
 def _accents() -> tuple[str, str]:
-    """Latin letters that are an ASCII letter with marks, and that letter, by Unicode decomposition."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        plain = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+    """Characters that are an ASCII one with marks, and that one, by Unicode decomposition; then
+    the marks themselves, which have no counterpart and go."""
+    pairs, marks = [], []
+    for ch in map(chr, range(0x80, 0x20000)):
+        plain = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
         if len(plain) == 1 and plain.isascii():
-            pairs.append((chr(code), plain))
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+            pairs.append((ch, plain))
+        elif not plain:
+            marks.append(ch)
+    return "".join(p[0] for p in pairs) + "".join(marks), "".join(p[1] for p in pairs)
 
 
 ACCENTED, PLAIN = _accents()
 
 
 def strip_marks(c: Column) -> Column:
+    """Without accents, composed or as marks of their own."""
     return F.translate(c, ACCENTED, PLAIN)
 
 
@@ -157,8 +161,8 @@ def phrase_pattern(names) -> str:
 
 
 def fold_py(text: str) -> str:
-    """fold() for lexicon entries on the driver."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    """fold() for lexicon entries on the driver, and for titles in tasks."""
+    plain = text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
     return re.sub("[^a-z0-9]+", " ", plain.lower())
 
 

@@ -1,12 +1,10 @@
-"""Joins: cache lookups, upserts, dictionary matches and dimension lookups."""
+"""Joins: cache lookups, upserts and dimension lookups."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riffle.domain import Rule
-from riffle.functions.text import fold, phrase_pattern
 from riffle.functions.urls import normal_url
 
 from .dedup import last_wins
@@ -50,29 +48,6 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return o.join(n, key, "full_outer").select(key, *[pick(c) for c in cols])
 
 
-def first_rule(rules: list[Rule] | tuple[Rule, ...], *texts: Column) -> Column:
-    """Name of the first rule, in their order, that the folded texts mention; null if none."""
-    text = fold(F.concat_ws(" ", *texts))
-    hits = [F.when(text.rlike(phrase_pattern(r.names)), F.lit(r.name)) for r in rules]
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
-
-
-def dictionary_matches(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
-    """(key, term) for every term (column `term`) that the folded text holds as whole words, once
-    a key: an equi-join on first words, which grows with the text and not with text times
-    lexicon. key is unique in df."""
-    words = F.filter(F.split(fold(text), " "), lambda w: w != "")
-    t = terms.select("term", F.trim(fold(F.col("term"))).alias("_gram")).distinct()
-    # A term can only be where its first word is: the texts' distinct words find the few
-    # candidates, which are then looked for in full.
-    found = df.select(key, F.array_distinct(words).alias("_w")).select(key, F.explode("_w").alias("_first"))
-    first = t.withColumn("_first", F.substring_index("_gram", " ", 1))
-    near = found.join(first, "_first").groupBy(key).agg(F.collect_set(F.struct("term", "_gram")).alias("_terms"))
-    whole = df.select(key, F.concat(F.lit(" "), F.trim(fold(text)), F.lit(" ")).alias("_text"))
-    held = whole.join(near, key).select(key, "_text", F.explode("_terms").alias("_t"))
-    return held.where(F.col("_text").contains(F.concat(F.lit(" "), F.col("_t._gram"), F.lit(" ")))).select(key, F.col("_t.term").alias("term")).distinct()
-
-
 def lookup(df: DataFrame, dim: DataFrame, on: str) -> DataFrame:
     """Left join with a dimension whose keys are unique."""
     return df.join(dim, on, "left")

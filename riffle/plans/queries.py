@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riffle.domain import DomainPack, Rule
 from riffle.functions import dates, markup, text, urls
-from riffle.operators import cluster, dedup, filters, joins, reports, topic, topk
+from riffle.operators import cluster, dedup, filters, joins, mentions, reports, topic, topk
 from riffle.operators.tables import shared_dir
 from riffle.schema import raw_reject_reason
 from riffle.streaming import items as stream
@@ -280,7 +280,7 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
 @query(_with(f"""SELECT pos, CASE WHEN {S.mention('title || chr(32) || body_text', ['that with', 'with that'])} THEN 'That With' WHEN {S.mention('title || chr(32) || body_text', ['eau', 'aux'])} THEN 'Eau'
   WHEN {S.mention('title || chr(32) || body_text', ['und'])} THEN 'Und' WHEN {S.mention('title || chr(32) || body_text', ['los', 'las'])} THEN 'Los' END AS rule FROM items"""))
 def first_rule(spark: SparkSession, d: str) -> DataFrame:
-    return items_view(spark, d).select("pos", joins.first_rule(INCLUDED, F.col("title"), F.col("body_text")).alias("rule"))
+    return items_view(spark, d).select("pos", mentions.first_rule(INCLUDED, F.col("title"), F.col("body_text")).alias("rule"))
 
 
 @query(f"""WITH terms AS (SELECT DISTINCT trim({S.fold('p_type')}) AS term FROM part UNION SELECT unnest(['that with', 'in the', 'stupid', 'de la', 'eau'])),
@@ -289,7 +289,7 @@ def first_rule(spark: SparkSession, d: str) -> DataFrame:
 def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select(F.trim(text.fold(F.col("p_type"))).alias("term"))
     terms = parts.union(spark.createDataFrame([(t,) for t in ("that with", "in the", "stupid", "de la", "eau")], "term string")).distinct()
-    return joins.dictionary_matches(table(spark, d, "documents"), "doc_id", F.col("text"), terms)
+    return mentions.dictionary_matches(table(spark, d, "documents"), "doc_id", F.col("text"), terms)
 
 
 _SIG = f""", raw AS (SELECT pos, {S.normal_url('url')} AS url, CASE WHEN game = 'g1' THEN 'one' WHEN game = 'g10' THEN 'ten' ELSE lower(trim(game)) END AS game_key, published_at AS ts,
@@ -497,4 +497,4 @@ def stream_user_windows(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 
-from . import checked, checked_state  # noqa: E402, F401  (add their queries)
+from . import checked, checked_names, checked_state  # noqa: E402, F401  (add their queries)

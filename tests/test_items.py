@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riffle import domain
-from riffle.operators import cluster, detect, enrich, joins, reports, store, topk
+from riffle.operators import cluster, detect, enrich, joins, mentions, reports, store, topk
 from riffle.operators.filters import by_age
 from riffle.plans import digest
 from riffle.schema import ITEMS, ITEMS_RAW, raw_reject_reason, split_valid
@@ -146,16 +146,54 @@ def test_rules_and_exclusion(spark):
     assert detect.match_rules("A Comet-like game", "comet and comet", rules, PACK) == "Comet"
     assert detect.match_rules("Comet and Badland", "", rules, PACK) is None
     assert detect.context_matches("A Comet-like game", rules, PACK) == ["Comet"]
-    assert detect.mention_count("Comet 2 and Comet", "Comet") == 1
+    assert detect.mention_count("Comet 2 and Comet", "Comet") == 2
     df = raw(spark, [{"title": "OF2 adds ships"}, {"title": "x", "source_type": "reddit", "source_subreddit": "s"}, {"title": "y", "source_type": "steam", "source": "Steam · Nova"}, {"title": "z"}])
     got = {r.pos: (r.game, r.match_reason) for r in detect.assign_games(df, rules, PACK).collect()}
     assert got == {0: ("Orbit Fleet", "config"), 1: ("Reddit Rumors", "reddit"), 2: ("Nova", "hint"), 3: ("General", "none")}
 
 
+def test_a_number_after_a_name_is_part_of_the_mention():
+    rules = domain.parse_rules({"include": [{"name": "Grand Story", "aliases": ["GS"]}, {"name": "Under", "aliases": ["Under 2"]}], "exclude": [{"name": "Fort"}]})
+    match = lambda title, body="": detect.match_rules(title, body, rules, PACK)
+    assert match("GS 6 trailer is out") == "Grand Story" and match("Under 2 gets a release date") == "Under"
+    assert match("Fort 2 and Under out") is None and match("Under out", "fort 24 has news") is None
+    assert match("GS 6? No thanks") is None and match("GS 6? Nah. Under 2 it is") == "Under"
+    assert match("News", "under 2 is out") is None and match("News", "under 2 is out, under 3 isn't") == "Under"
+    assert detect.context_matches("GS 6? No thanks", rules, PACK) == ["Grand Story"]
+    assert detect.known_titles("Comet 4 development news", PACK) == ["Comet"] and detect.detect("Comet 4 development news", PACK) == ("Comet", "known")
+
+
+def test_automaton_finds_what_a_scan_finds():
+    rng = random.Random(3)
+    for _ in range(200):
+        phrases = [" ".join(rng.choices("ab c".split(), k=rng.randint(1, 4))) for _ in range(rng.randint(0, 6))] + [""]
+        words = rng.choices(["ab", "c", "x"], k=rng.randint(0, 30))
+        want = sorted((i, i + len(p.split()), n) for n, p in enumerate(phrases) for i in range(len(words)) if p and words[i : i + len(p.split())] == p.split())
+        assert sorted(mentions.Automaton(phrases).find(words)) == want
+
+
+def test_matches_beyond_the_broadcast_are_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["The Big, bad wolf", "badly", None, "", "big bad bad"])], "id long, t string")
+    terms = spark.createDataFrame([("big bad",), ("wolf",), ("bad",), ("!",), (None,), ("Bad",)], "term string")
+    few = {tuple(r) for r in mentions.dictionary_matches(df, "id", F.col("t"), terms).collect()}
+    monkeypatch.setattr(mentions, "MOST_PHRASES", 2)
+    assert few == {tuple(r) for r in mentions.dictionary_matches(df, "id", F.col("t"), terms).collect()} == {(0, "big bad"), (0, "wolf"), (0, "bad"), (0, "Bad"), (4, "big bad"), (4, "bad"), (4, "Bad")}
+    with pytest.raises(ValueError):
+        mentions.mentions(df, "id", F.col("t"), terms)
+
+
+def test_folding_of_decomposed_letters(spark):
+    from riffle.functions.text import fold, fold_py
+
+    texts = ["cafe\u0301s", "ca\u0301fe", "Vi\u1ec7t nam", "\u212bngstro\u0308m", "a\u064eb", "e\u0301", "ñandú", "日本 x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(fold(F.col("t")).alias("f")).collect()
+    assert [r.f for r in rows] == [fold_py(t) for t in texts] and rows[0].f == "cafes"
+
+
 def test_dictionary_matches(spark):
     df = spark.createDataFrame([(1, "The Big, bad wolf"), (2, "badly"), (3, None)], "id long, t string")
     terms = spark.createDataFrame([("big bad",), ("wolf",), ("bad",)], "term string")
-    assert {tuple(r) for r in joins.dictionary_matches(df, "id", F.col("t"), terms).collect()} == {(1, "big bad"), (1, "wolf"), (1, "bad")}
+    assert {tuple(r) for r in mentions.dictionary_matches(df, "id", F.col("t"), terms).collect()} == {(1, "big bad"), (1, "wolf"), (1, "bad")}
 
 
 @pytest.mark.parametrize(
