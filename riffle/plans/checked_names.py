@@ -75,7 +75,11 @@ def _is_reference_sql(w: str, start: str, end: str, pack: DomainPack) -> str:
 
 def _found_sql(w: str, names) -> str:
     """Sorted list of {s, e (from 1, both included), o} of the mentions of names in list w."""
-    parts = [f"list_transform(list_filter(range(1, len({w}) + {2 - len(ws)}), lambda i: {w}[i:i + {len(ws) - 1}] = {S.words(ws)}), lambda i: {{'s': i, 'o': {o}, 'e': i + {len(ws) - 1}}})" for o, ws in enumerate(n.split() for n in names)]
+    parts = []
+    for o, ws in enumerate(n.split() for n in names):
+        source = w if len(ws) == 1 else f"list_zip({', '.join(f'{w}[{k + 1}:]' for k in range(len(ws)))})"
+        test = f"z = '{ws[0]}'" if len(ws) == 1 else " AND ".join(f"z[{k + 1}] = '{x}'" for k, x in enumerate(ws))
+        parts.append(f"list_filter(list_transform({source}, lambda z, i: CASE WHEN {test} THEN {{'s': i, 'o': {o}, 'e': i + {len(ws) - 1}}} END), lambda m: m IS NOT NULL)")
     return "list_sort(" + (parts[0] if len(parts) == 1 else f"flatten([{', '.join(parts)}])") + ")"
 
 
@@ -201,9 +205,12 @@ def rule_match(spark: SparkSession, d: str) -> DataFrame:
     return items_view(spark, d).select("pos", found(title, text.fold(F.col("body_text"))).alias("m")).select("pos", "m.rule", "m.context")
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_list("text")} AS w FROM documents), n AS (SELECT doc_id, term, w, string_split(term, ' ') AS n FROM w, (SELECT unnest(['that with', 'in the', 'the', 'the that', 'de la', 'la']) AS term))
-  SELECT doc_id, term, CAST(s - 1 AS INT) AS "start", CAST(s - 1 + len(n) AS INT) AS "end" FROM (SELECT doc_id, term, n, unnest(list_filter(range(1, len(w) - len(n) + 2), lambda i: w[i:i + len(n) - 1] = n)) AS s FROM n)""")
+PHRASES = ("that with", "in the", "the", "the that", "de la", "la")
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_list("text")} AS w FROM documents), m AS (SELECT doc_id, unnest({_found_sql("w", PHRASES)}) AS m FROM w)
+  SELECT doc_id, ({S.words(PHRASES)})[m.o + 1] AS term, CAST(m.s - 1 AS INT) AS "start", CAST(m.e AS INT) AS "end" FROM m""")
 def mention_places(spark: SparkSession, d: str) -> DataFrame:
     """Every mention of some phrases in the whole documents, with its place in words."""
-    terms = spark.createDataFrame([(t,) for t in ("that with", "in the", "the", "the that", "de la", "la")], "term string")
+    terms = spark.createDataFrame([(t,) for t in PHRASES], "term string")
     return mentions.mentions(table(spark, d, "documents"), "doc_id", F.col("text"), terms)
