@@ -1,20 +1,13 @@
 """Model enrichment: cache first, each miss once, failures kept to their row.
 
-A provider takes a row and returns the model's raw text. The default one works offline
-and gives the same answer always. Raw answers are parsed and checked with Columns.
+The providers are in providers.py, the tasks that ask them in asking.py; raw answers are
+parsed and checked here, with Columns.
 """
 
 from __future__ import annotations
 
-import json
-import re
-import time
-from collections import deque
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from typing import Protocol
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,201 +15,12 @@ from riffle.functions.markup import model_object
 from riffle.functions.text import clean_name, strip_reasoning
 from riffle.functions.urls import stable_id
 from riffle.schema import CATEGORIES, ITEMS, LANGUAGES, in_enum
-from riffle.sources.web import retry_delay
 
+from .asking import call_model
 from .joins import cache_misses, with_cache
+from .providers import INSTRUCTION, Fallback
 from .tables import written
 
-
-class BadOutput(Exception):
-    """The model answered, but not with what was asked."""
-
-
-class Unreachable(Exception):
-    """The provider can't be used at all."""
-
-
-class Provider(Protocol):
-    def answer(self, title: str, body: str, language: str | None, game: str, source_type: str) -> str:
-        """Raw text for a row; raises BadOutput or Unreachable."""
-
-
-@dataclass
-class Extractive:
-    """Offline provider: the first sentence is the summary, the length the relevance, words the category."""
-
-    words: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"lanzamiento": ("release", "launch"), "analisis": ("review",), "actualizacion": ("update", "patch")})
-
-    def answer(self, title: str, body: str, language: str | None, game: str, source_type: str) -> str:
-        text = " ".join((body or title or "").split())
-        summary = re.split(r"(?<=[.!?])\s", text, maxsplit=1)[0][:280] or title
-        low = f"{title} {body}".lower()
-        category = next((c for c, ws in self.words.items() if any(w in low for w in ws)), "rumor")
-        return json.dumps({"summary": summary, "relevance": min(5, 1 + len(text) // 400), "category": category, "language": language or "en", "game": ""})
-
-
-@dataclass
-class Limiter:
-    """Tokens spent in a trailing minute stay under a share of the limit: `wait` before a call.
-
-    One limiter governs one task; share a provider's limit over tasks by dividing it, and
-    give their number as `tasks`, by which limits learnt from answers are divided."""
-
-    limit: int
-    share: float = 0.8
-    window: float = 60.0
-    clock: Callable[[], float] = time.monotonic
-    sleep: Callable[[float], None] = time.sleep
-    spent: deque = field(default_factory=deque)
-    tasks: int = 1
-
-    def learn(self, headers: dict[str, str]) -> None:
-        """Take over the provider's limit, where an answer's headers state one."""
-        told = next((v for k, v in headers.items() if k.lower() == "x-ratelimit-limit-tokens"), None)
-        try:
-            limit = float(told or 0)
-        except ValueError:
-            return
-        if 0 < limit < float("inf"):
-            self.limit = max(1, int(limit / self.tasks))
-
-    def _trailing(self, now: float) -> int:
-        while self.spent and now - self.spent[0][0] >= self.window:
-            self.spent.popleft()
-        return sum(n for _, n in self.spent)
-
-    def wait(self, tokens: int) -> float:
-        """Sleep once, until the oldest entry leaves the window, if the call would exceed; the seconds slept."""
-        now, slept = self.clock(), 0.0
-        if self.spent and self._trailing(now) + tokens > self.share * self.limit and self.spent:
-            slept = max(0.5, self.window - (now - self.spent[0][0]))
-            self.sleep(slept)
-        self.spent.append((self.clock(), tokens))
-        return slept
-
-
-def check(raw: str, source_type: str) -> dict:
-    """The driver's twin of `validated` for one answer, for providers that retry on bad output."""
-    try:
-        got = json.loads(raw)
-    except ValueError as e:
-        raise BadOutput("no JSON") from e
-    if not isinstance(got, dict):
-        raise BadOutput("no object")
-    return got
-
-
-def answer_format() -> dict:
-    """The strict output schema of an answer, as a chat endpoint takes it."""
-    text = {"type": "string"}
-    fields = {"summary": text, "relevance": {"type": "integer", "enum": [1, 2, 3, 4, 5]}, "category": text | {"enum": list(CATEGORIES)}, "language": text | {"enum": list(LANGUAGES)}, "game": text}
-    return {"type": "json_schema", "json_schema": {"name": "item", "strict": True, "schema": {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}}}
-
-
-@dataclass
-class Chat:
-    """Provider over a chat endpoint; post(payload) returns (status, headers, text).
-
-    Bad answers are asked for again; a 429 waits as long as its headers say; a 400 that
-    complains of the schema turns the schema off for good; a failed connection, status 0,
-    and any other status end in Unreachable.
-    """
-
-    post: Callable[[dict], tuple[int, dict[str, str], str]]
-    model: str
-    limiter: Limiter | None = None
-    attempts: int = 3
-    waits: int = 5
-    schema: bool = True
-    sleep: Callable[[float], None] = time.sleep
-
-    def payload(self, title: str, body: str, language: str | None, game: str, source_type: str) -> dict:
-        text = f"Answer with one JSON object with summary, relevance, category, language and game.\nGame: {game}\nTitle: {title}\nText: {body[:800]}"
-        out = {"model": self.model, "messages": [{"role": "user", "content": text}]}
-        return out | {"response_format": answer_format()} if self.schema else out
-
-    def answer(self, title: str, body: str, language: str | None, game: str, source_type: str) -> str:
-        row, waits, bad = (title, body, language, game, source_type), 0, 0
-        while True:
-            load = self.payload(*row)
-            if self.limiter:
-                self.limiter.wait(len(str(load)) // 3 + 320)
-            status, headers, text = self.post(load)
-            if self.limiter:
-                self.limiter.learn(headers)
-            if status == 200:
-                try:
-                    check(strip_py(text), source_type)
-                    return text
-                except BadOutput:
-                    bad += 1
-                    if bad >= self.attempts:
-                        raise
-            elif status == 429 and waits < self.waits:
-                waits += 1
-                self.sleep(retry_delay(headers))
-            elif status == 400 and self.schema:
-                self.schema = False
-            else:
-                raise Unreachable(f"status {status}")
-
-
-@dataclass
-class Fallback:
-    """Two providers and the state that chooses: bad answers in a row, or an unreachable local one, switch for good."""
-
-    local: Provider
-    cloud: Provider | None = None
-    most_bad: int = 3
-    bad: int = 0
-    switched: bool = False
-
-    def __call__(self, row: tuple) -> str | None:
-        """Raw text, or None where this row gets no answer; raises Unreachable when nothing is left."""
-        while True:
-            provider = self.cloud if self.switched and self.cloud else self.local
-            try:
-                out = provider.answer(*row)
-                check(strip_py(out), row[4])
-                self.bad = 0
-                return out
-            except BadOutput:
-                if self.switched or self.cloud is None:
-                    return None
-                self.bad += 1
-                if self.bad < self.most_bad:
-                    return None
-                self.switched, self.bad = True, 0
-            except Unreachable:
-                if self.switched or self.cloud is None:
-                    raise
-                self.switched = True
-            except Exception:  # noqa: BLE001  any other failure is this row's own
-                return None
-
-
-def strip_py(raw: str) -> str:
-    """What strip_reasoning leaves, then the first object, for checks beside the provider."""
-    from riffle.functions.markup import object_in
-
-    raw = re.sub(r"(?is)<think>.*?</think>|<think>.*$|```(?:json)?", "", raw)
-    return object_in(raw.strip()) or ""
-
-
-def call_model(misses: DataFrame, make: Callable[[], Fallback]) -> DataFrame:
-    """(pos, raw): the provider's answer for each row, null where it failed. The state of
-    fallback lives in a task's iterator; the result must be written before it is used twice.
-    A task that is lost and run again asks for its rows again."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
-        for f in frames:
-            raws = [model((r.title or "", r.body_text or "", r.language, r.game or "", r.source_type)) for r in f.itertuples(index=False)]
-            yield pd.DataFrame({"pos": f["pos"], "raw": raws})
-
-    return misses.select("pos", "title", "body_text", "language", "game", "source_type").mapInPandas(run, "pos long, raw string")
-
-
 ANSWER = "summary string, relevance string, category string, language string, game string"
 
 
@@ -260,25 +64,20 @@ def enriched(df: DataFrame, generic: str) -> DataFrame:
     return df.select("pos", *[cols.get(n, F.col(n)).alias(n) for n in ITEMS.fieldNames()], "outcome")
 
 
-def enrich(df: DataFrame, cache: DataFrame, make: Callable[[], Fallback], generic: str = "General") -> DataFrame:
-    """All rows of df as items: cached answers are reused, every miss asks the model once (again if its task is lost)."""
+def enrich(df: DataFrame, cache: DataFrame, make: Callable[[], Fallback], generic: str = "General", tasks: int = 4) -> DataFrame:
+    """All rows of df as items: cached answers are reused, every miss asks the model once, by `tasks` tasks."""
     hits = with_cache(df, cache).where("hit")
     known = hits.select(*df.columns, F.struct(*[F.col(f"ai_{c}").alias(c) for c in ("summary", "relevance", "category", "language", "game")]).alias("ai"), F.lit("cache").alias("outcome"))
     misses = cache_misses(df, cache)
-    raw = written(call_model(misses, make), "model-answers")
+    raw = written(call_model(misses, make, tasks), "model-answers")
     got = written(validated(raw.join(misses.select("pos", "source_type"), "pos")), "model-valid")
     fresh = misses.join(got.select("pos", "ai"), "pos").withColumn("outcome", F.when(F.col("ai").isNull(), "fallback").otherwise("new"))
     return enriched(known.unionByName(fresh.select(known.columns)), generic)
 
 
 def prompt(title: Column, body: Column, game: Column, most: int = 800) -> Column:
-    """Instruction for a model: the schema asked for, then the row, its body cut."""
+    """The instruction that a provider sends for a row, its body cut."""
     return F.format_string(
-        "Answer with one JSON object with summary, relevance (1-5), category (%s), language (es or en) and game.\nGame: %s\nTitle: %s\nText: %s",
-        F.lit(", ".join(CATEGORIES)), F.coalesce(game, F.lit("")), F.coalesce(title, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, most),
+        INSTRUCTION.replace("{categories}", ", ".join(CATEGORIES)).replace("{game}", "%s").replace("{title}", "%s").replace("{text}", "%s"),
+        F.coalesce(game, F.lit("")), F.coalesce(title, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, most),
     )
-
-
-def pick_model(preferred: list[str], available: list[str], excluded: tuple[str, ...] = ()) -> str | None:
-    """The first preferred model that is available, else the first available that isn't excluded."""
-    return next((m for m in preferred if m in available), next((m for m in available if not any(x in m for x in excluded)), None))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riffle.domain import Rule, Rules
 from riffle.functions import markup
-from riffle.operators import enrich, joins, store
+from riffle.operators import enrich, joins, providers, store
 from riffle.operators.tables import shared_dir
 from riffle.schema import ITEMS
 from riffle.sources import feeds
@@ -124,7 +124,7 @@ class Numbered:
     def answer(self, title: str, body: str, language: str | None, game: str, source_type: str) -> str:
         n = int(title.split()[1])
         if n % 6 == 0:
-            raise enrich.BadOutput("none")
+            raise providers.BadOutput("none")
         if n % 6 == 2:
             raise RuntimeError("lost")
         return json.dumps({"summary": f"About {n}", "relevance": 1 + n % 5, "category": "analisis", "language": "en", "game": f"Game {n % 3}" if n % 2 else ""})
@@ -142,7 +142,7 @@ def enriched_items(spark: SparkSession, d: str) -> DataFrame:
     at = F.col("pos")
     items = items_view(spark, d).withColumns({"title": F.concat(F.lit("Item "), at.cast("string")), "fetched_at": _instant(), "language": F.lit("en"), "game_id": F.lit(None).cast("string"), "author": F.lit(None).cast("string")}).drop("relevance", "category")
     seen = items.where("pos % 4 = 1").select("pos", "url", F.concat(F.lit("Known "), at.cast("string")).alias("summary"), F.lit(2).alias("relevance"), F.lit("lanzamiento").alias("category"), F.lit("Cached").alias("game"), F.lit("en").alias("language"))
-    got = enrich.enrich(items, joins.build_cache(seen), lambda: enrich.Fallback(Numbered()))
+    got = enrich.enrich(items, joins.build_cache(seen), lambda: providers.Fallback(Numbered()))
     return got.select("pos", "id", "outcome", "summary", "game", "game_origin", "relevance", "category", "is_verified", "summary_is_fallback")
 
 
@@ -161,6 +161,12 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     return items_view(spark, d).withColumns(cols).select("pos", *ITEMS.fieldNames())
 
 
+@query(_with("""SELECT pos, 'Answer with one JSON object with summary, relevance (1-5), category (lanzamiento, actualizacion, rumor, analisis), language (es or en) and game.' || chr(10) || 'Game: ' || game || chr(10) || 'Title: ' || title || chr(10) || 'Text: ' || substr(body_text, 1, 800) AS prompt FROM items"""))
+def model_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What a model is told about each item."""
+    return items_view(spark, d).select("pos", enrich.prompt(F.col("title"), F.col("body_text"), F.col("game")).alias("prompt"))
+
+
 @query(_with(_STORED + """ SELECT row_number() OVER (ORDER BY published_at DESC, pos) - 1 AS place, id, title, summary, source_type, source_subreddit, game, CAST(epoch(published_at) AS BIGINT) AS published, relevance, category, bare AS summary_is_fallback FROM m"""))
 def stored_document(spark: SparkSession, d: str) -> DataFrame:
     """Two runs saved, the second over the first, whose summaries rows without one keep; the document read back, all its rows valid."""

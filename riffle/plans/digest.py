@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riffle.domain import DomainPack, Rules, Sources
 from riffle.operators import cluster, dedup, detect, enrich, filters, joins, reports, topic, topk
+from riffle.operators.providers import Fallback
 from riffle.operators.store import Store
 from riffle.operators.tables import written
 from riffle.schema import raw_reject_reason, split_valid
@@ -47,7 +48,7 @@ def select_items(raw: DataFrame, now: Column, sources: Sources, rules: Rules, pa
     return {"valid": valid, "young": young, "clean": clean, "topical": topical, "matched": matched, "stories": stories, "capped": capped, "ranked": ranked}
 
 
-def run(spark: SparkSession, raw: DataFrame, now: Column, sources: Sources, rules: Rules, pack: DomainPack, store: Store, make: Callable[[], enrich.Fallback], s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+def run(spark: SparkSession, raw: DataFrame, now: Column, sources: Sources, rules: Rules, pack: DomainPack, store: Store, make: Callable[[], Fallback], s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(published rows, funnel report). Nothing is written if every model call failed."""
     stages = select_items(raw, now, sources, rules, pack, s)
     past = [t for t in (store.published(), store.history()) if t is not None]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riffle import domain
-from riffle.operators import enrich
+from riffle.operators.providers import Extractive, Fallback
 from riffle.operators.store import Store, write_games
 from riffle.sources.feeds import Landed, read_all
 from riffle.sources.web import HttpSource
@@ -69,9 +69,9 @@ class Config:
         return digest.Settings(window_hours=lim.window_hours, max_stories=lim.per_game, max_reddit=lim.per_game_reddit)
 
 
-def run(spark: SparkSession, config: Config, landed: list[Landed], store: Store, now: Column, make: Callable[[], enrich.Fallback] | None = None, on_error: Callable = lambda f, e: None) -> tuple[DataFrame, DataFrame]:
+def run(spark: SparkSession, config: Config, landed: list[Landed], store: Store, now: Column, make: Callable[[], Fallback] | None = None, on_error: Callable = lambda f, e: None) -> tuple[DataFrame, DataFrame]:
     """Read the landed feeds, publish, and write the games' file; (published rows, funnel)."""
     raw = read_all(spark, landed, now, on_error)
-    out = digest.run(spark, raw, now, config.sources, config.rules, config.pack, store, make or (lambda: enrich.Fallback(enrich.Extractive())), config.settings())
+    out = digest.run(spark, raw, now, config.sources, config.rules, config.pack, store, make or (lambda: Fallback(Extractive())), config.settings())
     write_games(spark, config.rules, f"{store.base}/games")
     return out

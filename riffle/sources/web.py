@@ -15,13 +15,14 @@ LONGEST_WAIT = 60.0
 
 
 def retry_delay(headers: dict[str, str], default: float = 5.0, now: Callable[[], float] = time.time) -> float:
-    """Seconds that a 429 asks to wait, within 1 to LONGEST_WAIT: until its token window is
-    full, plus one, else Retry-After, in seconds or as a date."""
+    """Seconds that a 429 asks to wait, LONGEST_WAIT at most: until its token window is full,
+    plus one, else Retry-After, in seconds, which may be 0, or as a date, at least 1."""
     low = {k.lower(): (v or "").strip() for k, v in headers.items()}
     bound = lambda s: min(LONGEST_WAIT, max(1.0, s))
     for key, more in (("x-ratelimit-reset-tokens", 1.0), ("x-ratelimit-reset", 1.0), ("retry-after", 0.0)):
         try:
-            return bound(float(low[key]) + more)
+            seconds = float(low[key])
+            return min(LONGEST_WAIT, max(0.0, seconds)) if key == "retry-after" else bound(seconds + more)
         except (KeyError, ValueError):
             continue
     try:

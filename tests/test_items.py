@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riffle import domain
-from riffle.operators import cluster, detect, enrich, joins, mentions, reports, store, topk
+from riffle.operators import cluster, detect, enrich, joins, mentions, providers, reports, store, topk
 from riffle.operators.filters import by_age
 from riffle.plans import digest
 from riffle.schema import ITEMS, ITEMS_RAW, raw_reject_reason, split_valid
@@ -373,30 +373,89 @@ class Flaky:
         return out
 
 
+GOOD = json.dumps({"summary": "s", "relevance": 3, "category": "rumor", "language": "en"})
+ROW = ("t", "b", None, "g", "media")
+
+
 def test_fallback_switches_after_three_bad_answers():
-    f = enrich.Fallback(Flaky(["x", "{}", "x", "x", "x"]), Flaky(['{"a": 1}', "x", enrich.Unreachable()]))
-    assert [f(("t", "b", None, "g", "media")) for _ in range(4)] == [None, "{}", None, None]
-    assert f(("t", "b", None, "g", "media")) == '{"a": 1}' and f.switched
-    assert f(("t", "b", None, "g", "media")) is None
-    with pytest.raises(enrich.Unreachable):
-        f(("t", "b", None, "g", "media"))
+    f = providers.Fallback(Flaky(["x", GOOD, "x", "{}", "[1]"]), Flaky([GOOD, "x", providers.Unreachable()]))
+    assert [f(ROW) for _ in range(4)] == [None, GOOD, None, None]
+    assert f(ROW) == GOOD and f.switched
+    assert f(ROW) is None
+    with pytest.raises(providers.Unreachable):
+        f(ROW)
+
+
+@pytest.mark.parametrize("change", [{"summary": " "}, {"summary": 5}, {"relevance": 9}, {"relevance": True}, {"relevance": 2.5}, {"category": "other"}, {"category": None}, {"language": "fr"}, {"language": None}])
+def test_an_answer_with_a_wrong_field_is_bad(spark, change):
+    """Both twins refuse it, and three of them in a row switch."""
+    raw = json.dumps(json.loads(GOOD) | change)
+    with pytest.raises(providers.BadOutput):
+        providers.check(raw, "media")
+    f = providers.Fallback(Flaky([raw] * 3), Flaky([GOOD]))
+    assert [f(ROW), f(ROW), f(ROW)] == [None, None, GOOD] and f.switched
+    if not isinstance(change.get("summary"), int):
+        row = enrich.validated(spark.createDataFrame([(0, raw, "media")], "pos long, raw string, source_type string")).first()
+        assert row.ai is None and row.ai_reason
+
+
+def test_good_answers_pass():
+    assert providers.check("<think>{}</think> Sure: " + GOOD.replace("3", '" 4 "') + " bye", "media")["relevance"] == " 4 "
+    assert providers.check(GOOD.replace("rumor", "other"), "reddit")
 
 
 def test_chat_provider():
-    outs = [(429, {"Retry-After": "3"}, ""), (400, {}, "schema"), (200, {}, "no json"), (200, {}, '{"summary": "s"}'), (0, {}, "")]
+    outs = [(429, {"Retry-After": "3"}, ""), (400, {}, "json_validate_failed"), (200, {}, "no json"), (200, {}, GOOD), (0, {}, "")]
     slept, sent = [], []
-    chat = enrich.Chat(lambda p: (sent.append(p), outs.pop(0))[1], "m", sleep=slept.append)
-    assert chat.answer("t", "b", "en", "g", "media") == '{"summary": "s"}'
+    chat = providers.Chat(lambda p: (sent.append(p), outs.pop(0))[1], "m", sleep=slept.append)
+    assert chat.answer(*ROW) == GOOD
     assert slept == [3.0] and "response_format" in sent[0] and "response_format" not in sent[2]
     schema = sent[0]["response_format"]["json_schema"]
     assert schema["strict"] and set(schema["schema"]["required"]) == set(schema["schema"]["properties"]) == {"summary", "relevance", "category", "language", "game"}
-    with pytest.raises(enrich.Unreachable):
-        chat.answer("t", "b", "en", "g", "media")
+    with pytest.raises(providers.Unreachable):
+        chat.answer(*ROW)
+    assert "response_format" in sent[-1]  # the schema was left off for that row only
+
+
+@pytest.mark.parametrize(("outs", "error"), [
+    ([(400, {}, "json_validate_failed")] * 2, providers.BadOutput), ([(429, {}, "")] * 6, providers.BadOutput), ([(200, {}, "x")] * 2, providers.BadOutput),
+    ([(400, {}, "other")], providers.Unreachable), ([(500, {}, "")], providers.Unreachable),
+])
+def test_failures_of_a_row_and_of_a_provider(outs, error):
+    with pytest.raises(error):
+        providers.Chat(lambda p: outs.pop(0), "m", sleep=lambda s: None).answer(*ROW)
+    assert not outs
+
+
+def test_local_provider():
+    outs, sent = [(200, "no"), (200, GOOD), (200, "no"), (200, "{}"), (0, "")], []
+    local = providers.Local(lambda p: (sent.append(p), outs.pop(0))[1], "small")
+    assert local.answer(*ROW) == GOOD and sent[0]["format"] == "json" and sent[0]["prompt"] == providers.instruction("t", "b", "g")
+    with pytest.raises(providers.BadOutput):
+        local.answer(*ROW)
+    with pytest.raises(providers.Unreachable):
+        local.answer(*ROW)
+
+
+def test_the_first_call_picks_the_model():
+    sent = []
+    post = lambda p: (sent.append(p["model"]), (200, {}, GOOD))[1]
+    for offered, want in ((["b", "a", "second"], "second"), (["z-chat", "a-whisper"], "z-chat"), (["first", "second"], "first"), ([], "first")):
+        chat = providers.Chat(post, "first", models=lambda offered=offered: offered, preferred=("second",))
+        chat.answer(*ROW)
+        chat.answer(*ROW)
+        assert sent[-2:] == [want, want]
+
+    def broken():
+        raise OSError
+
+    providers.Chat(post, "first", models=broken).answer(*ROW)
+    assert sent[-1] == "first"
 
 
 def test_limiter_sleeps_until_the_oldest_leaves():
     t = [0.0]
-    lim = enrich.Limiter(100, clock=lambda: t[0], sleep=lambda s: t.__setitem__(0, t[0] + s))
+    lim = providers.Limiter(100, clock=lambda: t[0], sleep=lambda s: t.__setitem__(0, t[0] + s))
     assert lim.wait(50) == 0
     t[0] = 10.0
     assert lim.wait(40) == 50.0
@@ -415,7 +474,7 @@ def test_whole_run_twice(spark, tmp_path):
     rules = domain.parse_rules({"include": [{"name": "Orbit Fleet"}], "exclude": [{"name": "Badland"}]})
     rows = [{"title": "Orbit Fleet adds spaceship trailer", "body_text": "Ships. More."}, {"title": "Movie night"}, {"title": "Badland spaceship"}, {"title": "talk", "source_type": "reddit", "source_subreddit": "o", "source": "r/o"}, {"title": "old spaceship", "published_at": NOW - timedelta(days=3)}, {"title": "Orbit Fleet adds spaceship trailer", "url": "https://e.org/0?utm_source=q"}]
     st = store.Store(spark, f"file://{tmp_path}/run")
-    make = lambda: enrich.Fallback(enrich.Extractive())
+    make = lambda: providers.Fallback(providers.Extractive())
     out, funnel = digest.run(spark, raw(spark, rows), now(), domain.Sources(), rules, PACK, st, make)
     got = sorted((r.title, r.game, r.category, r.is_verified) for r in out.collect())
     assert got == [("Orbit Fleet adds spaceship trailer", "Orbit Fleet", "rumor", True), ("talk", "Reddit Rumors", "rumor", False)]
@@ -423,7 +482,7 @@ def test_whole_run_twice(spark, tmp_path):
     assert counts["valid"] == 6 and counts["young"] == 5 and counts["stories"] == 2
 
     def broken():
-        return enrich.Fallback(Flaky([]))
+        return providers.Fallback(Flaky([]))
 
     again, _ = digest.run(spark, raw(spark, rows), now(), domain.Sources(), rules, PACK, st, broken)  # all from the cache
     assert sorted((r.title, r.game, r.category, r.is_verified) for r in again.collect()) == got

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from riffle.operators import enrich
+from riffle.operators import providers
 
 
 @pytest.mark.parametrize(("headers", "tasks", "limit"), [
@@ -12,7 +12,7 @@ from riffle.operators import enrich
     ({}, 1, 900), ({"x-ratelimit-limit-tokens": "soon"}, 1, 900), ({"x-ratelimit-limit-tokens": "0"}, 1, 900),
 ])
 def test_chat_learns_the_limit(headers, tasks, limit):
-    lim = enrich.Limiter(900, tasks=tasks, sleep=lambda s: None)
-    chat = enrich.Chat(lambda p: (200, headers, '{"summary": "s"}'), "m", lim)
+    lim = providers.Limiter(900, tasks=tasks, sleep=lambda s: None)
+    chat = providers.Chat(lambda p: (200, headers, '{"summary": "s", "relevance": 1, "category": "rumor", "language": "en"}'), "m", lim)
     chat.answer("t", "b", "en", "g", "media")
     assert lim.limit == limit
