@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from riffle.operators.tables import shared_dir
 from riffle.schema import ITEMS
 from riffle.sources import feeds
 from riffle.streaming import items as stream
+from riffle.streaming import state
 
 from . import sqltext as S
 from .checked import _values
@@ -232,3 +234,12 @@ def stream_cached(spark: SparkSession, d: str) -> DataFrame:
     rows = lambda s: stream.cached(stream.clamp_ahead(s.select(at, F.concat(url, F.lit("/?utm_source=x")).alias("url"), F.col("ts").alias("published_at")), present), cache)
     got = _drained(spark, d, lambda s: rows(s).select("event_id", F.unix_timestamp("published_at").alias("published"), "hit", F.col("ai_summary").alias("summary")), "append")
     return got
+
+
+@query(f"""SELECT user_id, event_id, CAST(epoch_us(ts) AS BIGINT) AS opened FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+  WHERE (before IS NULL OR ts - before > INTERVAL 12 HOUR) AND ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY""")
+def stream_lives(spark: SparkSession, d: str) -> DataFrame:
+    """Users that a stream lets through when it hasn't seen them for 12 hours, of the last ten days."""
+    with state.rocks_state(spark):
+        rows = lambda s: state.emitted(state.first_of_lives(s, ["user_id"], "ts", "event_id", timedelta(hours=12)), "ts", _instant(), timedelta(days=10))
+        return _drained(spark, d, lambda s: rows(s).select("user_id", "event_id", F.unix_micros("ts").alias("opened")), "append")
