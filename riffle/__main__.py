@@ -1,4 +1,4 @@
-"""python -m riffle --sources s.yaml --rules r.yaml --pack p.yaml --landing DIR --store DIR --now 2024-01-10T12:00:00Z [--no-fetch]"""
+"""python -m riffle --sources s.yaml --rules r.yaml --pack p.yaml --landing DIR --store DIR --now 2024-01-10T12:00:00Z [--seed DOC] [--no-fetch]"""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="riffle", description=__doc__)
     for name in ("sources", "rules", "pack", "landing", "store", "now"):
         p.add_argument(f"--{name}", required=True)
+    p.add_argument("--seed", help="the document that a store without a history begins with")
     p.add_argument("--no-fetch", action="store_true", help="read what has landed")
     a = p.parse_args(argv)
     try:
@@ -32,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"status {r.status}: {r.url}", file=sys.stderr)
     now = F.to_timestamp(F.lit(a.now))
     try:
-        published, funnel = job.run(spark, config, [x for _, x in feeds], Store(spark, a.store), now, on_error=lambda f, e: print(f"{f.source}: {e!s:.200}", file=sys.stderr))
+        published, funnel = job.run(spark, config, [x for _, x in feeds], Store(spark, a.store), now, on_error=lambda f, e: print(f"{f.source}: {e!s:.200}", file=sys.stderr), seed=a.seed)
     except AllFailed as e:
         print(e, file=sys.stderr)
         return 1

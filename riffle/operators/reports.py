@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import written
+
 REDDIT = "source_type = 'reddit'"
 
 
@@ -18,15 +22,6 @@ def _first_titles(df: DataFrame, most: int) -> DataFrame:
     return df.orderBy("pos").limit(most).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda s: s["title"]).alias("titles"))
 
 
-def stage_stats(df: DataFrame, stage: str, titles: int = 10) -> DataFrame:
-    """One row: stage, counts by class, and the first titles by pos."""
-    none, zero = F.array().cast("array<string>").alias("titles"), F.lit(0).cast("long")
-    counts = by_class(df).select("total", "reddit", "media_steam", none)
-    first = _first_titles(df, titles).select(zero.alias("total"), zero.alias("reddit"), zero.alias("media_steam"), "titles")
-    both = counts.unionAll(first).agg(*[F.sum(c).alias(c) for c in ("total", "reddit", "media_steam")], F.flatten(F.collect_list("titles")).alias("titles"))
-    return both.select(F.lit(stage).alias("stage"), "total", "reddit", "media_steam", "titles")
-
-
 def by_subreddit(df: DataFrame) -> DataFrame:
     return df.where(REDDIT).groupBy("source_subreddit").count()
 
@@ -53,13 +48,48 @@ def identification(df: DataFrame, generic: Column) -> DataFrame:
     return df.agg(F.count_if(~generic & ~reddit).alias("identified"), F.count_if(generic & ~reddit).alias("generic"), F.count_if(reddit).alias("reddit"))
 
 
-def funnel(stages: dict[str, DataFrame]) -> DataFrame:
-    """(ord, stage, total, reddit, media_steam) of each stage."""
-    parts = [by_class(df).select(F.lit(i).alias("ord"), F.lit(name).alias("stage"), "total", "reddit", "media_steam") for i, (name, df) in enumerate(stages.items())]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionAll(p)
-    return whole
+class Meter:
+    """Counts rows by class as they pass, in the jobs that a run has anyway."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def through(self, df: DataFrame, stage: str) -> DataFrame:
+        """df, counted under the name of a stage. The first job that computes the whole of it
+        counts; df must be used once in that job, else its rows count twice."""
+        self.seen[stage] = Observation(f"{stage}-{uuid.uuid4().hex}")
+        return df.observe(self.seen[stage], F.count("*").alias("total"), F.count_if(F.expr(REDDIT)).alias("reddit"))
+
+    def counts(self) -> dict[str, tuple[int, int, int]]:
+        """(total, reddit, media and stores) of each stage, in order, once its job has ended."""
+        got = {name: o.get for name, o in self.seen.items()}
+        return {name: (x["total"], x["reddit"], x["total"] - x["reddit"]) for name, x in got.items()}
+
+    def funnel(self, spark: SparkSession) -> DataFrame:
+        """(ord, stage, total, reddit, media_steam) of each stage."""
+        rows = [(i, name, *x) for i, (name, x) in enumerate(self.counts().items())]
+        return spark.createDataFrame(rows, "ord int, stage string, total long, reddit long, media_steam long")
+
+
+def stage_stats(df: DataFrame, stage: str, titles: int = 10) -> DataFrame:
+    """One row: stage, counts by class, and the first titles by pos; one pass over df does both."""
+    meter = Meter()
+    first = written(meter.through(df, stage).select("pos", "title").orderBy("pos").limit(titles), "titles")
+    total, reddit, other = meter.counts()[stage]
+    return _first_titles(first, titles).select(F.lit(stage).alias("stage"), *[F.lit(n).cast("long").alias(c) for c, n in (("total", total), ("reddit", reddit), ("media_steam", other))], "titles")
+
+
+def stage_report(meter: Meter, stages: dict[str, DataFrame], titles: int = 10) -> DataFrame:
+    """(stage, total, reddit, media_steam, titles): counts from the run's own jobs, and the first
+    titles by pos of those stages, written tables, that are given."""
+    counts = meter.counts()
+    spark = next(iter(stages.values())).sparkSession
+    rows = spark.createDataFrame([(n, *x) for n, x in counts.items()], "stage string, total long, reddit long, media_steam long")
+    first = None
+    for name, df in stages.items():
+        part = _first_titles(df, titles).select(F.lit(name).alias("stage"), "titles")
+        first = part if first is None else first.unionAll(part)
+    return rows.join(first, "stage", "left")
 
 
 class AllFailed(RuntimeError):
@@ -74,10 +104,7 @@ def guard(df: DataFrame, least: int = 3) -> None:
 
 
 def discards(valid: DataFrame, rejects: DataFrame, samples: int = 3) -> DataFrame:
-    """(kind, n, titles) of kinds rejected and without_summary: counts, and the first titles of the latter."""
-    lost, none = valid.where("summary is null"), F.array().cast("array<string>").alias("titles")
-    kind = lambda name: F.lit(name).alias("kind")
-    parts = rejects.agg(F.count("*").alias("n")).select(kind("rejected"), "n", none)
-    parts = parts.unionAll(lost.agg(F.count("*").alias("n")).select(kind("without_summary"), "n", none))
-    parts = parts.unionAll(_first_titles(lost, samples).select(kind("without_summary"), F.lit(0).cast("long").alias("n"), "titles"))
-    return parts.groupBy("kind").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("titles")).alias("titles"))
+    """(kind, n, titles) of kinds rejected and without_summary: counts, and the first titles of the
+    latter; one pass over each."""
+    lost = stage_stats(valid.where("summary is null"), "without_summary", samples).select(F.col("stage").alias("kind"), F.col("total").alias("n"), "titles")
+    return rejects.agg(F.count("*").alias("n")).select(F.lit("rejected").alias("kind"), "n", F.array().cast("array<string>").alias("titles")).unionAll(lost)

@@ -13,7 +13,7 @@ from riffle.domain import Rule, Rules
 from riffle.functions import markup
 from riffle.operators import enrich, joins, providers, store
 from riffle.operators.tables import shared_dir
-from riffle.schema import ITEMS
+from riffle.schema import ITEMS, raw_reject_reason, routed
 from riffle.sources import feeds
 from riffle.streaming import items as stream
 from riffle.streaming import state
@@ -21,7 +21,7 @@ from riffle.streaming import state
 from . import sqltext as S
 from .checked import _values
 from .items_view import NOW, items_view, table
-from .queries import _drained, _with, query
+from .queries import _BROKEN, _REASON, _drained, _with, broken_items, query
 
 #: NOW as epoch seconds, whatever the session's zone.
 _NOW = 1_706_572_800
@@ -153,6 +153,10 @@ _STORED = f""", s AS (SELECT pos, {S.stable_id("url")} AS id, 'T' || CAST(pos AS
   m AS (SELECT * FROM s WHERE source_type = 'reddit' UNION ALL SELECT * FROM (SELECT * FROM s WHERE source_type <> 'reddit' ORDER BY published_at DESC, pos LIMIT 50))"""
 
 
+_STORE_VERSIONS = f""", a AS (SELECT {S.stable_id("url")} AS id, pos, CASE WHEN pos % 4 > 0 THEN 'S' || CAST(pos AS VARCHAR) END AS summary FROM items),
+  b AS (SELECT {S.stable_id("url")} AS id, pos + 1000000 AS pos, CASE WHEN pos % 4 <> 3 THEN 'again' END AS summary FROM items WHERE pos % 100 = 3)"""
+
+
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     at = F.col("pos")
     text = lambda p: F.concat(F.lit(p), at.cast("string"))
@@ -181,6 +185,30 @@ def stored_document(spark: SparkSession, d: str) -> DataFrame:
     return good if bad.isEmpty() else good.limit(0)
 
 
+@query(_with(f"""{_STORE_VERSIONS} SELECT 0 AS version, id, pos, summary FROM a UNION ALL SELECT 1, coalesce(b.id, a.id), coalesce(b.pos, a.pos), CASE WHEN b.id IS NULL THEN a.summary ELSE coalesce(b.summary, a.summary) END FROM a FULL OUTER JOIN b ON a.id = b.id"""))
+def state_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The history of two runs, both still readable: the second one has a hundredth of the rows, and rewrites their buckets only."""
+    kept = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    new = _stored(spark, d)
+    kept.save(new, _instant(), history_hours=1e5, history_most=10**9)
+    first = kept._last()["buckets"]
+    few = new.where("pos % 100 = 3").withColumns({"summary": F.when(F.col("pos") % 4 != 3, "again"), "pos": F.col("pos") + 1_000_000})
+    kept.save(few, _instant(), history_hours=1e5, history_most=10**9)
+    touched = {str(r[0]) for r in few.select(F.pmod(F.xxhash64("id"), F.lit(kept.buckets))).distinct().collect()}
+    whole = [kept.history(v).select(F.lit(v).alias("version"), "id", "pos", "summary") for v in (0, 1)]
+    both = whole[0].unionByName(whole[1])
+    return both if {b for b, p in kept._last()["buckets"].items() if p != first.get(b)} == touched else both.limit(0)
+
+
+@query(_with(f"""{_BROKEN} SELECT pos, reject_reason FROM ({{}}) WHERE reject_reason IS NOT NULL""".format(_REASON)))
+def reject_table(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid rows as a run keeps them with its version: routed in one pass, partitioned by reason."""
+    valid, rejects = routed(broken_items(spark, d), raw_reject_reason(), f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}")
+    kept = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    kept.save(_stored(spark, d).join(valid.select("pos"), "pos", "left_semi"), _instant(), rejects=rejects)
+    return kept.rejects().select("pos", "reject_reason")
+
+
 OLD = (
     ({"title": "Nested", "url": "https://e.org/1", "source": {"name": "Daily", "type": "media"}, "game": "G", "language": "en", "published_at": "2024-01-02T10:00:00Z", "relevance": 3, "category": "rumor", "summary": "s", "image_url": "https://i.org/1"}, "Daily", "media", None, "https://i.org/1", True, None),
     ({"title": "Community", "url": "https://e.org/2", "source": "r/ships", "source_type": "reddit", "game": "G", "language": "en", "published_at": "2024-01-02T10:00:00Z", "relevance": 1, "category": "rumor", "image": " ftp://i "}, "r/ships", "reddit", "ships", None, False, None),

@@ -69,9 +69,10 @@ class Config:
         return digest.Settings(window_hours=lim.window_hours, max_stories=lim.per_game, max_reddit=lim.per_game_reddit)
 
 
-def run(spark: SparkSession, config: Config, landed: list[Landed], store: Store, now: Column, make: Callable[[], Fallback] | None = None, on_error: Callable = lambda f, e: None) -> tuple[DataFrame, DataFrame]:
-    """Read the landed feeds, publish, and write the games' file; (published rows, funnel)."""
+def run(spark: SparkSession, config: Config, landed: list[Landed], store: Store, now: Column, make: Callable[[], Fallback] | None = None, on_error: Callable = lambda f, e: None, seed: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Read the landed feeds, publish, and write the games' file; (published rows, funnel). A store
+    without a history begins with the document seed."""
     raw = read_all(spark, landed, now, on_error)
-    out = digest.run(spark, raw, now, config.sources, config.rules, config.pack, store, make or (lambda: Fallback(Extractive())), config.settings())
+    out = digest.run(spark, raw, now, config.sources, config.rules, config.pack, store, make or (lambda: Fallback(Extractive())), config.settings(), seed)
     write_games(spark, config.rules, f"{store.base}/games")
     return out

@@ -250,9 +250,11 @@ def identification(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 1, 'young', count(*), count_if(source_type = 'reddit'), count_if(source_type <> 'reddit') FROM items WHERE published_at >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR
   UNION ALL SELECT 2, 'clean', count(*), count_if(source_type = 'reddit'), count_if(source_type <> 'reddit') FROM items WHERE published_at >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND NOT regexp_matches(title, '^the |!!', 'i') AND NOT regexp_matches(url, 'src7[.]', 'i')"""))
 def funnel(spark: SparkSession, d: str) -> DataFrame:
-    items = items_view(spark, d)
-    young = filters.by_age(items, now(), 24)
-    return reports.funnel({"all": items, "young": young, "clean": filters.without_patterns(young, TITLE_PATTERNS, URL_PATTERNS)})
+    """Stages counted in one pass over the items, as a run's own jobs count them."""
+    meter = reports.Meter()
+    young = meter.through(filters.by_age(meter.through(items_view(spark, d), "all"), now(), 24), "young")
+    meter.through(filters.without_patterns(young, TITLE_PATTERNS, URL_PATTERNS), "clean").write.format("noop").mode("overwrite").save()
+    return meter.funnel(spark)
 
 
 @query(_with("SELECT DISTINCT game FROM items"))
@@ -433,19 +435,26 @@ _BROKEN = """, raw AS (SELECT pos, CASE WHEN pos % 13 = 0 THEN ' ' ELSE title EN
   published_at AS fetched_at, CASE WHEN language IN ('es', 'en') THEN language ELSE CASE WHEN pos % 2 = 0 THEN language END END AS language FROM items)"""
 
 
-@query(_with(f"""{_BROKEN} SELECT pos, CASE WHEN trim(regexp_replace(title, '^\\s+|\\s+$', '', 'g')) = '' OR title IS NULL THEN 'title_empty' WHEN NOT regexp_matches(url, '^https?://') THEN 'url_not_http'
+_REASON = """SELECT pos, CASE WHEN trim(regexp_replace(title, '^\\s+|\\s+$', '', 'g')) = '' OR title IS NULL THEN 'title_empty' WHEN NOT regexp_matches(url, '^https?://') THEN 'url_not_http'
   WHEN source_type = 'reddit' AND source_subreddit IS NULL THEN 'subreddit_missing' WHEN source_type <> 'reddit' AND source_subreddit IS NOT NULL THEN 'subreddit_unexpected'
-  WHEN published_at IS NULL THEN 'published_at_missing' WHEN language IS NOT NULL AND language NOT IN ('es', 'en') THEN 'language_unknown' END AS reject_reason FROM raw"""))
-def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """Items with faults put in: the first rule that each breaks."""
+  WHEN published_at IS NULL THEN 'published_at_missing' WHEN language IS NOT NULL AND language NOT IN ('es', 'en') THEN 'language_unknown' END AS reject_reason FROM raw"""
+
+
+def broken_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items with faults put in."""
     p = F.col("pos")
-    broken = items_view(spark, d).select(
+    return items_view(spark, d).select(
         "pos", F.when(p % 13 == 0, " ").otherwise(F.col("title")).alias("title"), F.when(p % 17 == 0, "ftp://x").otherwise(F.col("url")).alias("url"), "source", "source_type",
         F.when(p % 19 == 0, F.lit(None)).when(p % 23 == 0, "x").otherwise(F.col("source_subreddit")).alias("source_subreddit"),
         F.when(p % 29 == 0, F.lit(None)).otherwise(F.col("published_at")).alias("published_at"), F.col("published_at").alias("fetched_at"),
         F.when(F.col("language").isin("es", "en") | (p % 2 == 0), F.col("language")).alias("language"),
     )
-    return broken.select("pos", raw_reject_reason().alias("reject_reason"))
+
+
+@query(_with(f"{_BROKEN} {_REASON}"))
+def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The first rule that each broken item breaks."""
+    return broken_items(spark, d).select("pos", raw_reject_reason().alias("reject_reason"))
 
 
 @query("""WITH featured AS (SELECT n_name AS name, n_nationkey AS ord FROM nation), available AS (SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9000),

@@ -105,6 +105,14 @@ def split_valid(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where("reject_reason is null").drop("reject_reason"), marked.where("reject_reason is not null")
 
 
+def routed(df: DataFrame, reason: Column, path: str) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejects with reject_reason), both read from a table at path that one pass
+    over df has written, partitioned by reason."""
+    df.withColumn("reject_reason", reason).write.partitionBy("reject_reason").parquet(path)
+    whole = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("reject_reason", _S)])).parquet(path)
+    return whole.where("reject_reason is null").drop("reject_reason"), whole.where("reject_reason is not null")
+
+
 def to_iso(ts: Column) -> Column:
     """ISO text in UTC; microseconds only where they aren't zero."""
     return F.when(F.unix_micros(ts) % 1_000_000 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(

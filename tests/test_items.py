@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -325,8 +326,7 @@ def test_store_merges_publishes_and_is_idempotent(spark, tmp_path):
     for _ in range(2):
         out = st.save(again, now())
         assert [(r.summary, r.relevance) for r in out.collect()] == [("s0", 5)]
-    text = spark.read.text(st._last()["document"]).first()["value"]
-    doc = json.loads(text)
+    doc = json.loads(_text(st._last()["document"]))
     assert doc["total"] == 1 and doc["generated_at"] == "2024-01-10T12:00:00Z" and doc["news"][0]["summary"] == "s0" and "source_subreddit" not in doc["news"][0] and doc["news"][0]["author"] is None
     assert digest.read(st, "g", "rumors").count() == 1 and digest.read(st, "g", "news").count() == 0
 
@@ -346,20 +346,92 @@ def test_a_run_between_is_a_conflict(spark, tmp_path, monkeypatch):
     with pytest.raises(store.Conflict):
         st.save(_items(spark, [{}, {}, {}]), now())
     assert st._last()["seq"] == before["seq"] + 1 and st.published().count() == 2 and len(first) == 1
-    # Two rows of one number: all readers see the same one, and the other run is told.
-    spark.createDataFrame([(2, "a", "a", "a")], store.POINTER).write.mode("append").parquet(f"{st.base}/pointer")
-    spark.createDataFrame([(2, "b", "b", "b")], store.POINTER).write.mode("append").parquet(f"{st.base}/pointer")
-    assert st._last()["history"] == "a"
+    # Two runs that have both passed the first test and take the same number: one is named, the other is told.
+    base, one, two = st._last(), store.Store(spark, st.base), store.Store(spark, st.base)
+    entry = base | {"seq": base["seq"] + 1}
+    monkeypatch.setattr(two, "_last", lambda: base)
+    one._point(base, entry | {"document": "one"})
+    with pytest.raises(store.Conflict):
+        two._point(base, entry | {"document": "two"})
+    assert st._last()["document"] == "one"
+    assert not [n for n in st.files.names(f"{st.base}/pointer") if not n[0].isdigit() and not n.endswith(".crc")]
+
+
+def test_a_save_rewrites_the_buckets_of_its_rows(spark, tmp_path):
+    st = store.Store(spark, f"file://{tmp_path}/state", buckets=32, keep=2)
+    st.save(_items(spark, [{}] * 400), now())
+    first = st._last()
+    assert len(first["buckets"]) == 32
+    few = _items(spark, [{"summary": "new"}] * 4)
+    st.save(few, now())
+    second = st._last()
+    moved = {b for b in second["buckets"] if second["buckets"][b] != first["buckets"].get(b)}
+    want = {str(r[0]) for r in few.select(F.pmod(F.xxhash64("id"), F.lit(32))).distinct().collect()}
+    assert moved == want and len(want) <= 4
+    assert st.history().count() == 400 and st.history().where("summary = 'new'").count() == 4 and st.history(0).where("summary = 'new'").count() == 0
+    # The first version's folder still holds the other buckets; a version that nothing names goes.
+    st.save(_items(spark, [{"summary": "all"}] * 400), now())
+    st.save(_items(spark, [{"summary": "all"}] * 400), now())
+    assert len(st.files.names(f"{st.base}/versions")) == 2 and st.history(0) is None and st.history().where("summary = 'all'").count() == 400
+
+
+@pytest.mark.parametrize("counted_off", [False, True])
+def test_retention_holds_for_buckets_that_were_not_rewritten(spark, tmp_path, monkeypatch, counted_off):
+    if counted_off:
+        monkeypatch.setattr(store, "_SORTED_MOST", 10)
+    st = store.Store(spark, f"file://{tmp_path}/state", buckets=16)
+    rng, at = random.Random(6), F.lit(NOW).cast("timestamp")
+    known = {}
+    for k in range(4):
+        ids = rng.sample(range(300), 60)
+        rows = [{"id": f"{i:016x}", "url": f"https://e.org/{i}", "published_at": NOW - timedelta(minutes=rng.randint(0, 4_000)), "source_type": "reddit" if i % 9 == 0 else "media"} for i in ids]
+        frame = _items(spark, rows)
+        st.save(frame, at + F.expr(f"INTERVAL {k} HOURS"), history_hours=48, history_most=100)
+        known |= {r["id"]: (r["published_at"], pos, r["source_type"]) for pos, r in enumerate(rows)}
+        floor = NOW + timedelta(hours=k) - timedelta(hours=48)
+        known = {i: r for i, r in known.items() if r[0] >= floor}
+        media = sorted((i for i, r in known.items() if r[2] == "media"), key=lambda i: (known[i][0], -known[i][1], i), reverse=True)
+        known = {i: r for i, r in known.items() if r[2] == "reddit" or i in set(media[:100])}
+        assert {r.id for r in st.history().select("id").collect()} == set(known)
+    assert len(st._last()["cuts"]) <= 5
+
+
+def test_a_store_begins_with_the_document_it_is_given(spark, tmp_path):
+    (tmp_path / "old.json").write_text(_doc({"summary": "known", "url": "https://e.org/0?utm_source=q", "title": "Orbit Fleet adds spaceship trailer"}))
+
+    class Silent:
+        def answer(self, *row):
+            raise AssertionError("asked")
+
+    st = store.Store(spark, f"file://{tmp_path}/state")
+    out, _ = digest.run(spark, raw(spark, [{"title": "Orbit Fleet adds spaceship trailer", "url": "https://e.org/0"}, {"title": " "}]), now(), domain.Sources(), domain.Rules((), ()), PACK, st, lambda: providers.Fallback(Silent()), seed=str(tmp_path / "old.json"))
+    assert [(r.summary, r.summary_is_fallback) for r in out.collect()] == [("known", False)]
+    assert [(r.title, r.reject_reason) for r in st.rejects().collect()] == [(" ", "title_empty")]
 
 
 def test_document_of_nothing_and_of_ties(spark, tmp_path):
-    for n in (0, 3):
+    for n in (0, 1, 3, 500):
         path = f"file://{tmp_path}/document{n}"
         store.write_document(_items(spark, [{}] * n), now(), path)
-        lines = spark.read.text(path).collect()
-        doc = json.loads(lines[0]["value"])
-        assert len(lines) == 1 and doc["total"] == n and [r["title"] for r in doc["news"]] == [f"t{i}" for i in range(n)]
-        assert store.read_document(spark, path).count() == n
+        doc = json.loads(_text(path))
+        assert doc["total"] == n and [r["title"] for r in doc["news"]] == [f"t{i}" for i in range(n)]
+        places = store.read_document(spark, path).select("pos", F.try_variant_get("raw", "$.title", "string").alias("t")).collect()
+        assert sorted((r.pos, r.t) for r in places) == [(i, f"t{i}") for i in range(n)]
+
+
+def _text(path):
+    """The files of a document, one after the other."""
+    folder = Path(path.removeprefix("file://"))
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
+def test_numbers_without_gaps(spark):
+    from riffle.operators.ordered import numbered
+
+    rows = spark.range(1_000).select((F.col("id") * 37 % 100).alias("k"), F.col("id").alias("v"))
+    got = numbered(rows, [F.desc("k"), F.asc("v")], "place", 5).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(5, 1_005)) and [(-r.k, r.v) for r in got] == sorted((-r.k, r.v) for r in got)
+    assert numbered(rows.limit(0), [F.asc("k")]).count() == 0
 
 
 class Flaky:
