@@ -64,18 +64,34 @@ def _greedy(order, edges):
 @pytest.mark.parametrize("seed", range(3))
 def test_leaders_equal_the_greedy_loop(spark, seed):
     rng = random.Random(seed)
-    n = 40
-    order = list(range(n))
-    rng.shuffle(order)
-    rank = {x: i for i, x in enumerate(order)}
-    pairs = {tuple(sorted(rng.sample(range(n), 2), key=rank.get)) for _ in range(60)}
-    edges = spark.createDataFrame([(a, b, rank[a]) for a, b in pairs], "a long, b long, rank long")
-    groups = [rng.sample(range(n), k) for k in (5, 3)] if seed else []
-    alike = {tuple(sorted((x, y), key=rank.get)) for g in groups for x in g for y in g if x != y}
-    grouped = spark.createDataFrame([(x, str(i), rank[x]) for i, g in enumerate(groups) for x in g if not any(x in h for h in groups[:i])], "pos long, grp string, rank long")
-    alike = {(x, y) for x, y in alike if any(x in g and y in g and not any(x in h or y in h for h in groups[:i]) for i, g in enumerate(groups))}
-    got = cluster.leaders(edges, spark.createDataFrame([(i,) for i in range(n)], "pos long"), grouped)
-    assert {r.pos: r.leader for r in got.collect()} == _greedy(order, pairs | alike)
+    n, kinds, span = 60, 8, 100
+    rows = [(i, f"c{rng.randrange(kinds)}", -rng.randint(0, 450), f"g{rng.randrange(3)}" if seed and rng.random() < 0.15 else None) for i in range(n)]
+    similar = {(f"c{i}", f"c{j}") for i in range(kinds) for j in range(i, kinds) if rng.random() < (0.8 if i == j else 0.15)}
+    similar |= {(y, x) for x, y in similar}
+    order = sorted(range(n), key=lambda i: (rows[i][2], i))
+    pairs = {
+        (a, b) for k, a in enumerate(order) for b in order[k + 1 :]
+        if (rows[a][1], rows[b][1]) in similar and rows[b][2] - rows[a][2] <= span or rows[a][3] is not None and rows[a][3] == rows[b][3]
+    }
+    table = spark.createDataFrame([(p, c, -r // span, r, g) for p, c, r, g in rows], "pos long, cls string, slot long, rank long, grp string")
+    got = cluster.leaders(table, spark.createDataFrame(sorted(similar), "cls string, other string"), span)
+    assert {r.pos: r.leader for r in got.collect()} == _greedy(order, pairs)
+
+
+def test_very_many_alike_rows_of_one_game(spark):
+    """A hundred thousand rows that look the same, and a few hundred that are near them, never meet in pairs."""
+    n, hours = 100_000, 400
+    at = F.timestamp_seconds(F.lit(1_704_000_000) + F.col("id") * (hours * 3600) / n)
+    title = F.when(F.col("id") % 1_000 == 7, "alpha beta gamma delta extra").otherwise("alpha beta gamma delta")
+    rows = spark.range(n).select(F.col("id").alias("pos"), title.alias("title"), F.concat(F.lit("https://e.org/"), "id").alias("url"), F.lit("g").alias("game"), F.lit("").alias("body_text"), at.alias("published_at"))
+    got = cluster.cluster(rows, PACK)
+    first = got.groupBy("leader").agg(F.count("*").alias("n"), F.min("pos").alias("low")).orderBy(F.desc("leader")).collect()
+    want, top = [], n - 1
+    step = 48 * n // hours  # rows within the window of a leader
+    while top >= 0:
+        want.append((top, min(top, step) + 1))
+        top -= step + 1
+    assert [(r.leader, r.n) for r in first] == want
 
 
 def test_stories_are_not_transitive_and_respect_the_window(spark):
