@@ -26,3 +26,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew where it has fewer partitions than tasks run at once, as a table of one
+    file does: for work that costs more than moving the rows. Large tables stay as they are."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
