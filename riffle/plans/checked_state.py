@@ -31,11 +31,14 @@ def _instant() -> Column:
     return F.timestamp_seconds(F.lit(_NOW))
 
 
-def _land(lines: DataFrame, head: str = "", foot: str = "") -> str:
-    """One landed file of lines (n, value), in order of n; its folder."""
+def _land(lines: DataFrame, head: str = "", foot: str = "", each: int = 100) -> str:
+    """Landed files of lines (n, value), `each` lines a file, in order of n; their folder."""
     path = f"{shared_dir(lines.sparkSession)}/landed-{uuid.uuid4().hex}"
-    ends = lines.sparkSession.createDataFrame([(-1, head), (1 << 40, foot)], "n long, value string")
-    lines.select(F.col("n").cast("long"), "value").unionByName(ends).repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+    file = F.floor(F.col("n") / each)
+    body = F.transform(F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), "value"))), lambda x: x["value"])
+    whole = lines.groupBy(file.alias("file")).agg(F.concat(F.lit(head), F.array_join(body, " "), F.lit(foot)).alias("value"))
+    # One file for each row, whose names are in its order.
+    whole.repartitionByRange(8, "file").sortWithinPartitions("file").select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -66,7 +69,7 @@ def rss_items(spark: SparkSession, d: str) -> DataFrame:
       if(k % 7 = 0, concat('<enclosure url="https://i.example.org/e', k, '" type="image/png"/>'), if(k % 7 = 1, concat('<media:content url="https://i.example.org/m', k, '"/>'), '<enclosure url="https://i.example.org/a" type="audio/mpeg"/>')),
       if(k % 2 = 0, concat('<category> A </category><category>B', k % 3, '</category>'), ''), '</item>')"""
     path = _land(table(spark, d, "customer").selectExpr("c_custkey AS k").selectExpr("k AS n", f"{line} AS value"), '<rss xmlns:media="http://search.yahoo.com/mrss/"><channel>', "</channel></rss>")
-    return _fields(feeds.read_rss(spark, feeds.Landed(path, "Daily", "media", "en"), _instant()))
+    return _fields(feeds.read_feed(spark, feeds.Landed(path, "Daily", "media", "en"), _instant()))
 
 
 @query(f"""WITH t AS ({_NUMBERED})
@@ -82,7 +85,7 @@ def subreddit_items(spark: SparkSession, d: str) -> DataFrame:
       '<content type="html">&amp;lt;p&amp;gt;Text &amp;amp;amp; ', k, '&amp;lt;img src="https://i.example.org/', k, '"&amp;gt;&amp;lt;/p&amp;gt;</content>', if(k % 4 = 0, '<media:thumbnail url="https://i.example.org/t"/>', ''),
       '<author>', if(k % 2 = 0, concat('<name>/u/u', k, '</name>'), if(k % 3 = 0, '<email>u@e.org</email>', '<name> </name>')), '</author><category term="x" label="r/ships"/></entry>')"""
     path = _land(table(spark, d, "customer").selectExpr("c_custkey AS k").selectExpr("k AS n", f"{line} AS value"), '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/">', "</feed>")
-    return _fields(feeds.read_atom(spark, feeds.Landed(path, "r/ships", "reddit", "en", "ships", limit=100), _instant()))
+    return _fields(feeds.read_feed(spark, feeds.Landed(path, "r/ships", "reddit", "en", "ships", limit=100), _instant()))
 
 
 @query(f"""SELECT CAST(a * 4294967296 + n_nationkey AS BIGINT) AS pos, n_name AS title, 'https://g.example.org/' || CAST(n_nationkey AS VARCHAR) AS url, 'Steam · App' || CAST(a AS VARCHAR) AS source, 'steam' AS source_type,
@@ -94,7 +97,7 @@ def store_items(spark: SparkSession, d: str) -> DataFrame:
     item = "named_struct('gid', string(n_nationkey), 'title', if(n_nationkey % 4 = 0, ' ', n_name), 'url', concat('https://g.example.org/', n_nationkey), 'contents', concat('<b>News</b> of ', n_name, '<img src=\"https://i.example.org/', n_nationkey, '\">'), 'date', if(n_nationkey % 3 > 0, 1704189600 + n_nationkey, 0))"
     lines = table(spark, d, "nation").selectExpr("n_nationkey AS n", f"concat(if(n_nationkey = 0, '', ','), to_json({item})) AS value")
     good = _land(lines, '{"appnews":{"appid":70,"newsitems":[', "]}}")
-    bad = _land(lines.limit(0), "no such", "document")
+    bad = _land(lines.limit(1), "no such", "document")
     lost: list[str] = []
     apps = [feeds.Landed(p, name, "steam", "en", app_id=70 + i) for i, (p, name) in enumerate(((good, "App0"), (good, "App1"), (bad, "App2")))]
     got = _fields(feeds.read_all(spark, apps, _instant(), lambda feed, e: lost.append(feed.source)))

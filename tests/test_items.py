@@ -276,6 +276,30 @@ def test_feeds(spark, tmp_path):
     assert rows[3].body_text == "hello" and rows[3].author == "u" and rows[3].language is None and rows[3].source_subreddit == "orbit"
 
 
+def test_bad_feeds_stop_no_other(spark, tmp_path):
+    """Missing, cut and empty files of every kind beside good ones: each is reported, good rows stay."""
+    good = {"rss": RSS, "atom": ATOM, "steam": json.dumps(STEAM)}
+    (tmp_path / "two").mkdir()
+    for i in range(2):
+        (tmp_path / "two" / f"part-{i}.xml").write_text(f"<rss><channel><item><title>T{i}</title><link>https://two.org/{i}</link></item></channel></rss>")
+    landed = [feeds.Landed(str(tmp_path / "two"), "Two", "media", "en", limit=1)]
+    for name, text in good.items():
+        for kind, body in (("good", text), ("cut", text[: len(text) // 2]), ("other", "plain"), ("none", "")):
+            (tmp_path / f"{name}-{kind}").write_text(body)
+            landed.append(feeds.Landed(str(tmp_path / f"{name}-{kind}"), f"{name}-{kind}", {"rss": "media", "atom": "reddit", "steam": "steam"}[name], subreddit="s" if name == "atom" else None))
+        landed.append(feeds.Landed(str(tmp_path / f"{name}-gone"), f"{name}-gone", {"rss": "media", "atom": "reddit", "steam": "steam"}[name], subreddit="s" if name == "atom" else None))
+    lost = []
+    rows = feeds.read_all(spark, landed, now(), lambda f, e: lost.append(f.source)).collect()
+    assert sorted((r.source, r.title) for r in rows) == [("Steam · steam-good", "Patch"), ("Two", "T0"), ("atom-good", "Rumor"), ("rss-good", "Orbit Fleet adds ships"), ("rss-good", "Two")]
+    assert len({r.pos for r in rows}) == len(rows)
+    bad = {f"{n}-{k}" for n in good for k in ("cut", "other", "none", "gone")}
+    assert set(lost) <= bad and {x for x in bad if not x.startswith("rss")} | {"rss-gone"} <= set(lost)
+    lost.clear()
+    only = [f for f in landed if f.kind == "steam" and "good" not in f.source] + [landed[0]]
+    assert len(feeds.read_all(spark, only, now(), lambda f, e: lost.append((f.source, str(e)))).collect()) == 1
+    assert lost[-1] == (only[0].source, "no app could be read")
+
+
 def test_http_retry():
     waits, turns = [], []
 
