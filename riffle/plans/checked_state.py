@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riffle.domain import Rule, Rules
-from riffle.functions import markup
 from riffle.operators import enrich, joins, providers, store
 from riffle.operators.tables import shared_dir
 from riffle.schema import ITEMS, raw_reject_reason, routed
@@ -19,7 +18,6 @@ from riffle.streaming import items as stream
 from riffle.streaming import state
 
 from . import sqltext as S
-from .checked import _values
 from .items_view import NOW, items_view, table
 from .queries import _BROKEN, _REASON, _drained, _with, broken_items, query
 
@@ -31,12 +29,12 @@ def _instant() -> Column:
     return F.timestamp_seconds(F.lit(_NOW))
 
 
-def _land(lines: DataFrame, head: str = "", foot: str = "", each: int = 100) -> str:
+def _land(lines: DataFrame, head: str = "", foot: str = "", each: int = 100, sep: str = " ") -> str:
     """Landed files of lines (n, value), `each` lines a file, in order of n; their folder."""
     path = f"{shared_dir(lines.sparkSession)}/landed-{uuid.uuid4().hex}"
     file = F.floor(F.col("n") / each)
     body = F.transform(F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), "value"))), lambda x: x["value"])
-    whole = lines.groupBy(file.alias("file")).agg(F.concat(F.lit(head), F.array_join(body, " "), F.lit(foot)).alias("value"))
+    whole = lines.groupBy(file.alias("file")).agg(F.concat(F.lit(head), F.array_join(body, sep), F.lit(foot)).alias("value"))
     # One file for each row, whose names are in its order.
     whole.repartitionByRange(8, "file").sortWithinPartitions("file").select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
@@ -104,23 +102,24 @@ def store_items(spark: SparkSession, d: str) -> DataFrame:
     return got if lost == ["App2"] else got.limit(0)
 
 
-_GOOD = '{"summary": " It is out ", "relevance": 4, "category": "rumor", "language": "en", "game": "“Orbit  Fleet”"}'
-ANSWERS = (
-    (_GOOD, "media", None, "It is out", 4, "rumor", "Orbit Fleet"), ("<think>{no}</think>```json\n" + _GOOD + "\n```", "media", None, "It is out", 4, "rumor", "Orbit Fleet"),
-    ("Sure: " + _GOOD + " Done {x}", "media", None, "It is out", 4, "rumor", "Orbit Fleet"), (_GOOD.replace("4", '"5"'), "media", None, "It is out", 5, "rumor", "Orbit Fleet"),
-    (_GOOD.replace('"rumor"', '"other"'), "reddit", None, "It is out", 4, "rumor", "Orbit Fleet"), (_GOOD.replace("It is out", "a {b} \\\" c"), "media", None, 'a {b} " c', 4, "rumor", "Orbit Fleet"),
-    (_GOOD.replace("“Orbit  Fleet”", "Unknown"), "media", None, "It is out", 4, "rumor", ""), (_GOOD.replace("Fleet", "a b c d e f g"), "media", None, "It is out", 4, "rumor", ""),
-    (_GOOD.replace('"rumor"', '"other"'), "media", "category_invalid", None, None, None, None), (_GOOD.replace("4", "6"), "media", "relevance_invalid", None, None, None, None), (_GOOD.replace("4", "4.5"), "media", "relevance_invalid", None, None, None, None),
-    (_GOOD.replace('"en"', '"fr"'), "media", "language_invalid", None, None, None, None), (_GOOD.replace("It is out", " "), "media", "summary_missing", None, None, None, None), (_GOOD[:-1], "media", "no_json", None, None, None, None),
-    ("[1]", "media", "no_json", None, None, None, None), ("", "media", "no_json", None, None, None, None), (None, "media", "no_answer", None, None, None, None),
-)
-
-
-@query(_values([(i, *a[2:]) for i, a in enumerate(ANSWERS)], "pos, reason, summary, relevance, category, game").replace("SELECT *", "SELECT CAST(pos AS BIGINT) AS pos, reason, summary, CAST(relevance AS INT) AS relevance, category, game"))
+@query(_with("""SELECT pos, r AS reason, CASE WHEN r IS NULL THEN trim(title) END AS summary, CASE WHEN r IS NULL THEN CAST(CASE WHEN k = 3 THEN 5 ELSE relevance END AS INT) END AS relevance,
+    CASE WHEN r IS NULL THEN CASE WHEN source_type = 'reddit' THEN 'rumor' ELSE category END END AS category, CASE WHEN r IS NULL THEN CASE WHEN k = 4 THEN '' ELSE 'Game ' || game END END AS game
+  FROM (SELECT *, pos % 13 AS k, CASE WHEN pos % 13 = 11 THEN 'no_answer' WHEN pos % 13 IN (9, 10) THEN 'no_json' WHEN trim(title) = '' OR pos % 13 = 8 THEN 'summary_missing' WHEN pos % 13 IN (5, 6) THEN 'relevance_invalid'
+    WHEN pos % 13 = 12 AND source_type <> 'reddit' THEN 'category_invalid' WHEN pos % 13 = 7 THEN 'language_invalid' END AS r FROM items)"""))
 def model_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Raw answers, taken out of reasoning, fences and talk, and checked."""
-    raw = spark.createDataFrame([(i, *a[:2]) for i, a in enumerate(ANSWERS)], "pos long, raw string, source_type string")
-    return enrich.validated(raw).select("pos", F.col("ai_reason").alias("reason"), "ai.summary", "ai.relevance", "ai.category", "ai.game")
+    """Raw answers about the items, right and wrong in a dozen ways, taken out of reasoning, fences and talk, and checked."""
+    k = F.col("pos") % 13
+    relevance = F.when(k == 3, '"5"').when(k == 5, "6").when(k == 6, "4.5").otherwise(F.col("relevance").cast("string"))
+    rest = F.to_json(F.struct(
+        F.when(k == 8, " ").otherwise(F.concat(F.lit(" "), "title")).alias("summary"), F.when(k == 12, "other").otherwise(F.col("category")).alias("category"),
+        F.when(k == 7, "fr").otherwise("en").alias("language"), F.when(k == 4, "Unknown").otherwise(F.concat(F.lit("“Game  "), "game", F.lit("”"))).alias("game"),
+    ))
+    good = F.concat(F.lit('{"relevance": '), relevance, F.lit(", "), F.substr(rest, F.lit(2)))
+    raw = (
+        F.when(k == 1, F.concat(F.lit("<think>{no}</think>```json\n"), good, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Sure: "), good, F.lit(" Done {x}")))
+        .when(k == 9, F.regexp_replace(good, ".$", "")).when(k == 10, "[1]").when(k != 11, good)
+    )
+    return enrich.validated(items_view(spark, d).select("pos", raw.alias("raw"), "source_type")).select("pos", F.col("ai_reason").alias("reason"), "ai.summary", "ai.relevance", "ai.category", "ai.game")
 
 
 class Numbered:
@@ -212,41 +211,37 @@ def reject_table(spark: SparkSession, d: str) -> DataFrame:
     return kept.rejects().select("pos", "reject_reason")
 
 
-OLD = (
-    ({"title": "Nested", "url": "https://e.org/1", "source": {"name": "Daily", "type": "media"}, "game": "G", "language": "en", "published_at": "2024-01-02T10:00:00Z", "relevance": 3, "category": "rumor", "summary": "s", "image_url": "https://i.org/1"}, "Daily", "media", None, "https://i.org/1", True, None),
-    ({"title": "Community", "url": "https://e.org/2", "source": "r/ships", "source_type": "reddit", "game": "G", "language": "en", "published_at": "2024-01-02T10:00:00Z", "relevance": 1, "category": "rumor", "image": " ftp://i "}, "r/ships", "reddit", "ships", None, False, None),
-    ({"title": "Old store", "url": "https://e.org/3", "source": "Steam ┬À App", "source_type": "steam", "game": "G", "language": "en", "published_at": "2024-01-02T10:00:00+02:00", "relevance": 1, "category": "rumor", "summary": "s"}, "Steam · App", "steam", None, None, True, None),
-    ({"title": "No number", "url": "https://e.org/4", "source": "Daily", "source_type": "media", "game": "G", "language": "en", "published_at": "2024-01-02T10:00:00Z", "relevance": "3", "category": "rumor", "summary": "s"}, "Daily", "media", None, None, True, "relevance_out_of_range"),
-    ({"title": "No zone", "url": "https://e.org/5", "source": "Daily", "source_type": "media", "game": "G", "language": "en", "published_at": "2024-01-02T10:00:00", "relevance": 3, "category": "rumor", "summary": "s"}, "Daily", "media", None, None, True, "published_at_missing"),
-    ({"title": "Other id", "id": "0", "url": "https://e.org/6", "source": "Daily", "source_type": "media", "game": "G", "language": "en", "published_at": "2024-01-02T10:00:00Z", "relevance": 3, "category": "rumor", "summary": "s"}, "Daily", "media", None, None, True, "id_mismatch"),
-)
-
-
-@query(_values([(i, o[0]["title"], *o[1:]) for i, o in enumerate(OLD)], "pos, title, source, source_type, source_subreddit, image, is_verified, reason").replace("SELECT *", "SELECT CAST(pos AS INT) AS pos, * EXCLUDE (pos)"))
+@query(_with("""SELECT url, title, CASE k WHEN 1 THEN 'r/' || source WHEN 2 THEN 'Steam · ' || source ELSE source END AS source, CASE k WHEN 1 THEN 'reddit' WHEN 2 THEN 'steam' ELSE 'media' END AS source_type,
+    CASE WHEN k = 1 THEN source END AS source_subreddit, CASE WHEN k = 0 THEN image_url END AS image, k <> 1 AS is_verified,
+    CASE WHEN k = 3 THEN 'relevance_out_of_range' WHEN k = 4 THEN 'published_at_missing' WHEN k = 5 THEN 'id_mismatch' END AS reason FROM (SELECT *, pos % 6 AS k FROM items WHERE trim(title) <> '')"""))
 def old_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of old documents, migrated; what still breaks a rule is set apart with its reason."""
-    path = _land(spark.createDataFrame([(0, json.dumps({"news": [o[0] for o in OLD]}))], "n long, value string"))
-    good, bad = store.load(spark, path)
-    cols = ("pos", "title", "source", "source_type", "source_subreddit", "image", "is_verified")
+    """The items as rows of old documents, a hundred each, migrated; what still breaks a rule is set apart with its reason."""
+    k = F.col("pos") % 6
+    kind = F.when(k == 1, "reddit").when(k == 2, "steam").otherwise("media").alias("source_type")
+    name = F.when(k == 1, F.concat(F.lit("r/"), "source")).when(k == 2, F.concat(F.lit("Steam ┬À "), "source")).otherwise(F.col("source"))
+    at = F.when(k == 2, "2024-01-02T10:00:00+02:00").when(k == 4, "2024-01-02T10:00:00").otherwise("2024-01-02T10:00:00Z")
+    base = [
+        "title", "url", F.lit("G").alias("game"), F.lit("en").alias("language"), at.alias("published_at"), F.lit("rumor").alias("category"), F.when(k != 1, "s").alias("summary"),
+        F.when(k == 0, F.col("image_url")).alias("image_url"), F.when(k == 1, " ftp://i ").alias("image"), F.when(k == 5, "0").alias("id"), F.lit(3).alias("relevance"),
+    ]
+    nested = F.to_json(F.struct(*base, F.struct(F.col("source").alias("name"), F.lit("media").alias("type")).alias("source")))
+    plain = F.to_json(F.struct(*base, kind, name.alias("source")))
+    wrong = F.replace(plain, F.lit('"relevance":3'), F.lit('"relevance":"3"'))
+    rows = items_view(spark, d).where(F.trim("title") != "").select(F.col("pos").alias("n"), F.when(k == 0, nested).when(k == 3, wrong).otherwise(plain).alias("value"))
+    good, bad = store.load(spark, _land(rows, '{"news":[', "]}", sep=","))
+    cols = ("url", "title", "source", "source_type", "source_subreddit", "image", "is_verified")
     return good.select(*cols, F.lit(None).cast("string").alias("reason")).unionByName(bad.select(*cols, F.col("reject_reason").alias("reason")))
 
 
-@query("SELECT * FROM (VALUES ('Orbit Fleet', 'o.png'), ('Comet', NULL)) AS t(name, logo)")
+@query("SELECT p_brand AS name, CASE WHEN min(p_partkey) % 2 = 0 THEN min(p_type) || '.png' END AS logo FROM part GROUP BY p_brand")
 def games_file(spark: SparkSession, d: str) -> DataFrame:
-    """The games' file as written, read for its logos."""
+    """The games' file of rules named by the brands, as written, read for its logos."""
     path = f"{shared_dir(spark)}/games-{uuid.uuid4().hex}"
-    store.write_games(spark, Rules(include=(Rule("Orbit Fleet", ("OF",), logo="o.png"), Rule("Comet")), exclude=()), path)
+    brands = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_type").alias("type"), F.min("p_partkey").alias("key")).collect()  # a rule for each brand
+    store.write_games(spark, Rules(include=tuple(Rule(b["p_brand"], (f"B{b['key']}",), logo=f"{b['type']}.png" if b["key"] % 2 == 0 else None) for b in brands), exclude=()), path)
     return store.read_logos(spark, path)
 
 
-MANGLED = (("sesi├│n", "sesión"), ("plain", "plain"), ("ni├▒o ┬┐qu├®?", "niño ¿qué?"), ("─ rule ─", "─ rule ─"), ("", ""))
-
-
-@query(_values(MANGLED, "raw, text"))
-def mojibake(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([m[:1] for m in MANGLED], "raw string").withColumn("text", markup.fix_mojibake("raw"))
-
-
 @query("""SELECT CAST(time_bucket(INTERVAL 30 SECOND, ts) AS TIMESTAMP) - k * INTERVAL 30 SECOND AS start, count(*) AS n, sum(value) AS total
   FROM (SELECT ts, CAST(value AS DECIMAL(18, 4)) AS value, unnest([0, 1]) AS k FROM events) GROUP BY ALL""")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
