@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.domain import Rule
+from riffle.domain import ConfigError, Rule
 from riffle.functions.text import fold, phrase_pattern
 
 
@@ -49,3 +49,13 @@ def section(df: DataFrame, game: str | None = None, name: str = "all", rumor: st
     elif name == "rumors":
         df = df.where(F.col("category") == rumor)
     return df
+
+
+def check_patterns(spark: SparkSession, *patterns: str) -> None:
+    """Raise ConfigError for a pattern that Spark's regular expressions, which are Java's, don't take;
+    a configuration file's reader knows Python's only."""
+    for p in patterns:
+        try:
+            spark.range(1).select(F.concat(F.lit("a"), F.col("id").cast("string")).rlike(p)).first()
+        except Exception as e:  # noqa: BLE001  whatever the engine says of the pattern
+            raise ConfigError(f"pattern {p!r}: {str(e).splitlines()[0]}") from e

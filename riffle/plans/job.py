@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riffle import domain
+from riffle.operators.filters import check_patterns
 from riffle.operators.providers import Extractive, Fallback
 from riffle.operators.store import Store, write_games
 from riffle.sources.feeds import Landed, read_all
@@ -72,6 +73,7 @@ class Config:
 def run(spark: SparkSession, config: Config, landed: list[Landed], store: Store, now: Column, make: Callable[[], Fallback] | None = None, on_error: Callable = lambda f, e: None, seed: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Read the landed feeds, publish, and write the games' file; (published rows, funnel). A store
     without a history begins with the document seed."""
+    check_patterns(spark, *config.sources.title_patterns, *config.sources.url_patterns)
     raw = read_all(spark, landed, now, on_error)
     out = digest.run(spark, raw, now, config.sources, config.rules, config.pack, store, make or (lambda: Fallback(Extractive())), config.settings(), seed)
     write_games(spark, config.rules, f"{store.base}/games")

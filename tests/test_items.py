@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riffle import domain
 from riffle.operators import cluster, detect, enrich, joins, mentions, providers, reports, store, topk
-from riffle.operators.filters import by_age
+from riffle.operators.filters import by_age, check_patterns
 from riffle.plans import digest
 from riffle.schema import ITEMS, ITEMS_RAW, raw_reject_reason, split_valid
 from riffle.sources import feeds, web
@@ -236,6 +236,14 @@ def test_bad_sources(bad):
         domain.parse_sources(bad)
 
 
+def test_patterns_must_suit_the_engine(spark):
+    """Python's reader takes (?P<x>..); the engine doesn't."""
+    given = domain.parse_sources({"quality": {"title_patterns": ["(?P<word>ad)"], "url_patterns": ["^ok$"]}})
+    check_patterns(spark, *given.url_patterns)
+    with pytest.raises(domain.ConfigError, match="word"):
+        check_patterns(spark, *given.title_patterns)
+
+
 def test_sources_and_yaml(tmp_path):
     (tmp_path / "s.yaml").write_text("media: [{name: A, feed: 'https://a.org/f', language: en}]\nreddit: {enabled: false, subreddits: [{name: x}]}\nlimits: {per_feed: 3}\n")
     s = domain.parse_sources(domain.load_yaml(str(tmp_path / "s.yaml")))
