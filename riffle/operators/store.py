@@ -16,6 +16,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from riffle.functions.markup import fix_mojibake
@@ -211,7 +212,11 @@ class Store:
 
     def rejects(self) -> DataFrame | None:
         """Rows that the last run set apart, with reject_reason, by which they are partitioned."""
-        return self._table("rejects")
+        entry = self._last()
+        if not entry or not entry["rejects"]:
+            return None
+        # Without rows there are no files that would tell the columns.
+        return self.spark.read.schema(T.StructType.fromJson(entry["columns"])).parquet(entry["rejects"])
 
     def _point(self, base: dict | None, entry: dict) -> None:
         """Name entry as the version after base. Where another run has come between, or takes the
@@ -265,7 +270,7 @@ class Store:
         published = self.spark.read.parquet(f"{version}/published")
         write_document(published, now, f"{version}/document")
         if rejects is not None:
-            entry["rejects"] = f"{version}/rejects"
+            entry["rejects"], entry["columns"] = f"{version}/rejects", rejects.schema.jsonValue()
             rejects.write.partitionBy("reject_reason").parquet(entry["rejects"])
         self._point(base, entry)
         self._vacuum()

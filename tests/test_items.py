@@ -608,6 +608,18 @@ def test_whole_run_twice(spark, tmp_path):
     assert sorted((r.title, r.game, r.category, r.is_verified) for r in again.collect()) == got
 
 
+@pytest.mark.parametrize("rows", [[], [{"title": " "}]])
+def test_a_run_over_nothing(spark, tmp_path, rows):
+    """No rows, or no valid ones: all stages are counted, the document is empty, and a second run follows."""
+    st = store.Store(spark, f"file://{tmp_path}/run")
+    given = raw(spark, rows) if rows else raw(spark, [{"title": "x"}]).limit(0)
+    for _ in range(2):
+        out, funnel = digest.run(spark, given, now(), domain.Sources(), domain.Rules((), ()), PACK, st, lambda: providers.Fallback(providers.Extractive()))
+        counts = {r.stage: r.total for r in funnel.collect()}
+        assert out.count() == 0 and counts["raw"] == len(rows) and counts["valid"] == counts["enriched"] == 0
+        assert st.rejects().count() == len(rows) and st.history() is None and json.loads(_text(st._last()["document"]))["total"] == 0
+
+
 def test_guard(spark):
     df = spark.createDataFrame([("fallback",)] * 3, "outcome string")
     with pytest.raises(reports.AllFailed):
