@@ -225,7 +225,8 @@ def _brute_marginals(dom, p):
     n = len(dom.parent)
     total, on = 0.0, np.zeros(n)
     for bits in range(1 << (n - 1)):
-        y = [0] + [bits >> i & 1 for i in range(n - 1)]
+        # The root is content only where nothing in it has a block of its own.
+        y = [int(all(k == "inline" for k in dom.kind[1:]))] + [bits >> i & 1 for i in range(n - 1)]
         w = 1.0
         for i in range(1, n):
             w *= p.step.get(dom.kind[i], ((0.5, 0.5),) * 2)[y[dom.parent[i]]][y[i]]
@@ -238,7 +239,7 @@ def _brute_marginals(dom, p):
 
 def test_marginals_are_exact():
     p = html_tree.train(html_tree.labelled_pages())
-    for page in ("<div><p>one two</p><aside>x</aside></div><article><h1>t</h1><p>a <b>b</b></p><div class=ad>z</div></article>", "<p>just text <a href=x>link</a>", ""):
+    for page in ("<div><p>one two</p><aside>x</aside></div><article><h1>t</h1><p>a <b>b</b></p><div class=ad>z</div></article>", "<p>just text <a href=x>link</a>", "", "one <b>two <i>three</i></b> <a href=x>four</a>"):
         dom = html_tree.Dom(page)
         assert html_tree.marginals(dom, p) == pytest.approx(_brute_marginals(dom, p), abs=1e-9)
 
