@@ -1,10 +1,13 @@
 """Near copies: documents whose 5-word shingles have a Jaccard similarity of at least 0.8.
 
-Fingerprints of op1 can't find them: at 0.8 two SimHash fingerprints are about 10 of 64
-bits apart, and trees searched at such a radius no longer prune. Candidates come from
-min-hashes instead: BANDS bands of ROWS values each; documents that agree on a band are
-linked to its least one, and the components of these links hold every pair that agrees
-on any band, which a pair at 0.8 misses with probability (1 - 0.8^ROWS)^BANDS < 1e-6.
+Candidates come from SimHash fingerprints in vantage-point trees, as in op1, but from
+many: at 0.8 a bit differs with a probability of up to P, so one fingerprint of 64 bits is
+about 10 bits off, a radius at which trees no longer prune. Short fingerprints, of a few
+bits more than it takes to tell the documents apart, are within REACH of each other now
+and then, and so many of them are searched, each in a tree of its own at that radius, that
+a pair at 0.8 is missed by all with a probability below MISS. What a tree finds is held
+against CHECK further bits of the SimHash, and the components of the links that pass are
+the candidates.
 Within a component all pairs are settled exactly, on the shingles of the texts: a prefix
 filter on the component's rarest shingles loses no pair, and pairs already linked over
 others are not compared. Equal sets of shingles are one class from the start.
@@ -17,6 +20,7 @@ is dealt into blocks of about that size, and every two blocks meet in a task of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -29,15 +33,25 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, sent, staged
 from .disjoint import Disjoint
-from .simhash_vptree import SEED, drop_grouped, grouped
+from .simhash_vptree import SEED, blocks, build_tree, drop_grouped, grouped, route
 
 WIDTH = 5
-BANDS, ROWS = 36, 5
+#: The most that a bit differs at a Jaccard similarity of 0.8: for 12 shingles in common and
+#: 3 others (0.1515 for long texts); P_LEAST for a set of LEAST and one with a shingle more.
+#: Different sets of fewer than LEAST are never so similar.
+P, P_LEAST, LEAST = 0.1612, 0.1875, 4
+MISS = 1e-6
+REACH = 1
+#: Bits that verify what a tree finds, and how many of them may differ (P, P_LEAST): a pair
+#: at 0.8 exceeds them with a probability of 2e-7.
+CHECK, MAX_OFF, MAX_OFF_LEAST = 128, 44, 50
+#: Fingerprints at home in a shard of a tree, and about those that the driver sees to place the shards' boundaries.
+SHARD, SAMPLE = 1 << 18, 1 << 14
+_PAIRS = 1 << 18
+_ROW = np.dtype([("key", "<u4"), ("check", "<u8", CHECK // 64), ("size", "<i4"), ("rep", "<i8"), ("home", "?")])
 #: Classes of a component, and shingles of them, that one task settles, and about the most in a block of a larger one.
 GROUP, SHINGLES = 512, 500_000
-_MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
-_MIX[1] |= np.uint64(1)
-_CHUNK = 512
+_CHUNK = 255  # what a byte counts
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -49,20 +63,44 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(runs)))
 
 
-def bands(h: np.ndarray) -> list[int]:
-    """A signed hash of each band of min-hashes; none of an empty set."""
-    if not len(h):
-        return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+def forest(n: int) -> tuple[int, int, int]:
+    """For n documents: bits of a tree's fingerprints, number of trees, and of trees with
+    those that only the sets of LEAST and LEAST + 1 shingles visit."""
+    bits = min(32, max(16, math.ceil(math.log2(max(n, 1))) + 2))
+
+    def trees(p: float) -> int:
+        hit = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(REACH + 1))
+        return math.ceil(math.log(MISS) / math.log1p(-hit))
+
+    return bits, trees(P), trees(P_LEAST)
+
+
+def simhash_bits(h: np.ndarray, n: int) -> np.ndarray:
+    """n bits (0, 1) of a SimHash of any length: 1 if set in over half of the shingles' hashes, drawn out by SplitMix64."""
+    ones = np.zeros(n, np.int64)
+    step = np.arange(1, -(-n // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(0, len(h), _CHUNK):
-        least = np.minimum(least, ((h[i : i + _CHUNK, None] ^ _MIX[0]) * _MIX[1]).min(0))
-    parts = least.reshape(BANDS, ROWS)
-    out = np.fromiter((xxhash.xxh64_intdigest(p.tobytes(), k) for k, p in enumerate(parts)), np.uint64, BANDS)
-    return out.view(np.int64).tolist()
+        x = h[i : i + _CHUNK, None] + step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, count=n, bitorder="little").sum(0, dtype=np.uint8)
+    return (2 * ones > len(h)).astype(np.uint8)
+
+
+def sketch(h: np.ndarray, bits: int, trees: int, trees_least: int) -> bytes:
+    """CHECK bits of the SimHash, then the key of each tree in 4 bytes; nothing of sets that have no near copy."""
+    if len(h) < LEAST:
+        return b""
+    n = trees_least if len(h) <= LEAST + 1 else trees
+    b = simhash_bits(h, CHECK + n * bits)
+    keys = b[CHECK:].reshape(n, bits).astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
+    return np.packbits(b[:CHECK], bitorder="little").tobytes() + keys.astype("<u4").tobytes()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, size, bands): fp is a hash of the set of shingles, size their number; a null text counts as empty."""
+    """(doc_id, fp, size, sketch): fp is a hash of the set of shingles, size their number; a null text counts as empty."""
+    shape = forest(docs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,10 +109,91 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h = shingles(t.as_py() or b"")
                 fp.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 size.append(len(h))
-                cut.append(bands(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(cut, pa.list_(pa.int64()))], ["doc_id", "fp", "size", "bands"])
+                cut.append(sketch(h, *shape))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "fp", "size", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, size long, sketch binary")
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows x[i] and y[i] may be different sets at a similarity of 0.8, by their sizes and CHECK bits."""
+    low, high = np.minimum(x["size"], y["size"]).astype(np.int64), np.maximum(x["size"], y["size"]).astype(np.int64)
+    off = np.bitwise_count(x["check"] ^ y["check"]).sum(1, dtype=np.int64)
+    return (5 * low >= 4 * high) & ((low < high) | (5 * (low - 1) >= 4 * (low + 1))) & (off <= np.where(low > LEAST, MAX_OFF, MAX_OFF_LEAST))
+
+
+def search(rows: np.ndarray) -> Disjoint:
+    """Join all rows, of a shard of a tree, whose keys are within REACH and that are alike, one of them at home."""
+    keys, found = np.ascontiguousarray(rows["key"]), Disjoint(len(rows))
+    root, left, right, many = found.roots(), [], [], 0
+    for q, h in blocks(rows["home"], keys, REACH, _PAIRS):
+        hit = np.bitwise_count(keys[q][:, None] ^ keys[h][None, :]) <= REACH
+        if np.count_nonzero(hit) > 16 * len(q):  # a large group: only what isn't linked yet
+            hit &= root[q][:, None] != root[h][None, :]
+        a, b = np.divmod(np.flatnonzero(hit), len(h))
+        a, b = q[a], h[b]
+        a, b = a[a != b], b[a != b]
+        near = _alike(rows[a], rows[b])
+        if near.any():
+            left.append(a[near])
+            right.append(b[near])
+            many += len(left[-1])
+        if many > len(q):
+            found.union(np.concatenate(left), np.concatenate(right))
+            root, left, right, many = found.roots(), [], [], 0
+    if left:
+        found.union(np.concatenate(left), np.concatenate(right))
+    return found
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the reps of classes (rep, size, sketch) that span the components of what the trees find."""
+    known = classes.where(F.length("sketch") > 0).select("rep", "size", "sketch")
+    n = known.count()
+    leaves = -(-n // SHARD)
+    shapes: list[list[tuple[int, int, int, int]]] = []
+    if leaves > 1:
+        share = int(min(1.0, SAMPLE / n) * (1 << 30))
+        picked = known.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) <= share).select("sketch").limit(2 * SAMPLE)
+        sample = [np.frombuffer(r.sketch, "<u4")[CHECK // 32 :] for r in picked.collect()]
+        for t in range(max(map(len, sample), default=0)):
+            shapes.append(build_tree(np.array([s[t] for s in sample if len(s) > t], np.uint32), leaves))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [np.frombuffer(s, "<u4") for s in b.column(2).to_pylist()]
+            if not cut:
+                continue
+            n_keys = np.array([len(s) - CHECK // 32 for s in cut])
+            keys = np.zeros((n_keys.max(), len(cut)), np.uint32)
+            for i, s in enumerate(cut):
+                keys[: n_keys[i], i] = s[CHECK // 32 :]
+            rows = np.zeros(len(cut), _ROW)
+            rows["check"] = np.array([s[: CHECK // 32] for s in cut]).view("<u8")
+            rows["size"], rows["rep"] = b.column(1).to_numpy(), b.column(0).to_numpy()
+            tree, shard, pack = [], [], []
+            for t, key in enumerate(keys):
+                part = rows[n_keys > t]
+                part["key"] = key[n_keys > t]
+                shape = shapes[t] if t < len(shapes) else []
+                at = np.empty(len(part), np.int64)
+                at.put(*route(shape, part["key"], 0))
+                row, leaf = route(shape, part["key"], REACH)
+                for k in np.unique(leaf):
+                    mine = part[row[leaf == k]]
+                    mine["home"] = at[row[leaf == k]] == k
+                    tree.append(t)
+                    shard.append(int(k))
+                    pack.append(mine.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(shard, pa.int32()), pa.array(pack, pa.binary())], ["tree", "shard", "pack"])
+
+    def join(f: pd.DataFrame) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(f["pack"]), _ROW)
+        root = search(rows).roots()
+        hit = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"a": rows["rep"][hit], "b": rows["rep"][root[hit]]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, size long, bands array<long>")
+    return known.mapInArrow(deal, "tree int, shard int, pack binary").groupBy("tree", "shard").applyInPandas(join, "a long, b long")
 
 
 def link(sets: list[np.ndarray]) -> Disjoint:
@@ -146,15 +265,13 @@ def _vantage(members: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between the reps of classes (rep, size, bands) that span the components of all near copies."""
-    cut = classes.select("rep", F.explode("bands").alias("band"))
-    least = cut.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").select("band", "b")
-    found = connected_components(cut.join(least, "band").select(F.col("rep").alias("a"), "b"))
+    """Edges (a, b) between the reps of classes (rep, size, sketch) that span the components of all near copies."""
+    found = connected_components(candidates(classes))
     groups = staged(found.withColumnRenamed("node", "doc_id").join(classes.select(F.col("rep").alias("doc_id"), "size"), "doc_id"), "copies-groups")
     tasks = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / SHINGLES), F.lit(1)).cast("int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     large = groups.groupBy("component").agg(tasks.alias("blocks")).where("blocks > 1").select("component")
-    blocks = groups.join(large, "component", "left_anti").select("doc_id", "component", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    dealt = groups.join(large, "component", "left_anti").select("doc_id", "component", F.lit(0).alias("i"), F.lit(0).alias("j"))
     linked = None
     if not large.isEmpty():
         seen = staged(_vantage(texts.join(sent(staged(groups.drop("size").join(large, "component"), "copies-large")), "doc_id")), "copies-vantage")
@@ -162,12 +279,12 @@ def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         rest = seen.groupBy("component").agg(F.min(F.when(~F.col("near"), F.col("distance"))).alias("rest"))
         open_ = seen.join(rest, "component").where("not near or distance + 0.2 + 1e-9 >= rest").select("doc_id", "component").distinct().join(groups.select("doc_id", "size"), "doc_id")
         many = open_.groupBy("component").agg(tasks.alias("blocks"))
-        dealt = open_.join(many, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        parts = open_.join(many, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        pairs = dealt.select("doc_id", "component", "block", "blocks", other).where("other <> block or blocks = 1")
-        blocks = blocks.unionByName(pairs.select("doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+        pairs = parts.select("doc_id", "component", "block", "blocks", other).where("other <> block or blocks = 1")
+        dealt = dealt.unionByName(pairs.select("doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     # A doc_id with several texts brings them all; they are tied together anyway.
-    members = texts.join(sent(staged(blocks, "copies-blocks")), "doc_id")
+    members = texts.join(sent(staged(dealt, "copies-blocks")), "doc_id")
 
     def settle(f: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(t) for t in f["text"]]
@@ -191,7 +308,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     document; a row without doc_id links with nothing and has a null component_id.
     """
     marked = staged(sketches(docs), "copies")
-    classes = staged(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "copies-class")
+    classes = staged(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "copies-class")
     return grouped(marked.select("doc_id", "fp"), classes.select("fp", "rep"), staged(near_links(docs, classes), "copies-links"))
 
 

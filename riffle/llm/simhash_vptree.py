@@ -15,6 +15,7 @@ near copies cost a row for each member.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -79,19 +80,22 @@ def _distance(x: np.ndarray, v: int) -> np.ndarray:
 
 
 def _split(x: np.ndarray) -> tuple[int, int] | None:
-    """Vantage point and radius that halve x best, of a few candidates; None if all are equal."""
+    """Vantage point and radius that halve x best, of a few candidates tried on every n-th of x; None if all are equal."""
     best = None
+    some = x[:: max(1, len(x) >> 9)]
     for v in x[np.linspace(0, len(x) - 1, 5).astype(int)]:
         for cand in (v, ~v, v ^ x.dtype.type(0x0F0F0F0F)):
-            d = _distance(x, int(cand))
-            mu = int(np.sort(d)[(len(d) - 1) // 2])
+            upto = np.cumsum(np.bincount(_distance(some, int(cand)), minlength=8 * x.itemsize + 2)).tolist()
+            mu = bisect_left(upto, (len(some) + 1) // 2)
             for m in (mu - 1, mu):
-                inside = int((d <= m).sum())
-                if 0 < inside < len(x):
-                    over = int(((d > m - 1) & (d <= m + 1)).sum())
-                    cost = max(inside, len(x) - inside) + over / 2
+                inside = upto[m] if m >= 0 else 0
+                if 0 < inside < len(some):
+                    over = upto[m + 1] - (upto[m - 1] if m else 0)
+                    cost = max(inside, len(some) - inside) + over / 2
                     if best is None or cost < best[0]:
                         best = (cost, int(cand), m)
+    if best is None and len(some) < len(x):
+        return _split(np.unique(x))
     return best and best[1:]
 
 
@@ -137,21 +141,18 @@ def route(nodes: list[tuple[int, int, int, int]], x: np.ndarray, reach: int) ->
     return np.concatenate(rows), np.concatenate(leaves)
 
 
-def _search(fp: np.ndarray, home: np.ndarray, keys: np.ndarray, reach: int, found: Disjoint) -> None:
-    """Join all rows within BITS of each other, one of which is at home."""
-    todo = [(np.flatnonzero(home), np.arange(len(fp)))]
+def blocks(home: np.ndarray, keys: np.ndarray, reach: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (any, at home), in blocks of about most pairs: each pair of keys within reach is in one."""
+    todo = [(np.flatnonzero(home), np.arange(len(keys)))]
     while todo:
         h, q = todo.pop()
         if not len(h) or not len(q):
             continue
-        cut = _split(keys[h]) if len(h) > 64 and len(h) * len(q) > _BRUTE else None
+        cut = _split(keys[h]) if len(h) > 64 and len(h) * len(q) > most else None
         if cut is None:
-            step = max(1, _BRUTE // len(h))
+            step = max(1, most // len(h))
             for i in range(0, len(q), step):
-                part = q[i : i + step]
-                a, b = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[h][None, :]) <= BITS)
-                a, b = part[a], h[b]
-                found.union(a[a != b], b[a != b])
+                yield q[i : i + step], h
             continue
         v, mu = cut
         dh, dq = _distance(keys[h], v), _distance(keys[q], v)
@@ -159,6 +160,14 @@ def _search(fp: np.ndarray, home: np.ndarray, keys: np.ndarray, reach: int, foun
         todo.append((h[dh > mu], q[dq > mu - reach]))
 
 
+def _search(fp: np.ndarray, home: np.ndarray, keys: np.ndarray, reach: int, found: Disjoint) -> None:
+    """Join all rows within BITS of each other, one of which is at home."""
+    for part, h in blocks(home, keys, reach, _BRUTE):
+        a, b = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[h][None, :]) <= BITS)
+        a, b = part[a], h[b]
+        found.union(a[a != b], b[a != b])
+
+
 def near_links(classes: DataFrame) -> DataFrame:
     """Edges (a, b) between the reps of classes (fp, rep) whose fps differ in 3 bits or fewer.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -71,3 +72,77 @@ def test_stage_against_brute_force(spark, docs_of, monkeypatch, group):
 
 def test_empty_table(docs_of):
     assert N.drop_near_copies(docs_of([])).count() == 0
+
+
+def test_simhash_is_a_majority_of_the_shingles():
+    def drawn(h, k):  # SplitMix64
+        x = (h + (k + 1) * 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    for n in (1, 2, 5, 300):
+        h = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+        want = [int(2 * sum(drawn(int(x), i // 64) >> i % 64 & 1 for x in h) > n) for i in range(200)]
+        assert N.simhash_bits(h, 200).tolist() == want
+
+
+def test_trees_are_enough_for_all_sizes():
+    def sums(n):
+        return [math.comb(n, i) / 2**n for i in range(n + 1)]
+
+    def differ(c, a, b):
+        out = 0.0
+        for i, p in enumerate(sums(c)):
+            x = sum(w for j, w in enumerate(sums(a)) if 2 * (i + j) > c + a)
+            y = sum(w for j, w in enumerate(sums(b)) if 2 * (i + j) > c + b)
+            out += p * (x * (1 - y) + y * (1 - x))
+        return out
+
+    assert differ(4, 1, 0) == N.P_LEAST
+    for c in range(5, 90):
+        for more in {1, c // 4}:
+            assert max(differ(c, a, more - a) for a in range(more + 1)) <= N.P
+    for n in (0, 1000, 10**6, 10**8):
+        bits, trees, trees_least = N.forest(n)
+        for p, many in (N.P, trees), (N.P_LEAST, trees_least):
+            assert (1 - (1 - p) ** bits - bits * p * (1 - p) ** (bits - 1)) ** many <= N.MISS
+    off = lambda p, most: sum(math.comb(N.CHECK, i) * p**i * (1 - p) ** (N.CHECK - i) for i in range(most + 1, N.CHECK + 1))
+    assert off(N.P, N.MAX_OFF) < 2e-7 and off(N.P_LEAST, N.MAX_OFF_LEAST) < 2e-7
+
+
+@pytest.mark.parametrize("shard", [1 << 18, 40])
+def test_candidates_are_what_trees_find(spark, monkeypatch, shard):
+    """Rows whose key of one tree is within a bit, of like sizes and CHECK bits: all of them, and no others."""
+    monkeypatch.setattr(N, "SHARD", shard)
+    rng = np.random.default_rng(5)
+    trees, rows = 6, []
+    for i in range(400):
+        check, keys, size = rng.integers(0, 2**32, 4, dtype=np.uint32), rng.integers(0, 2**16, trees, dtype=np.uint32), int(rng.integers(20, 90))
+        for _ in range(1 + i % 3):
+            some = np.where(rng.random(trees) < 0.6, rng.integers(0, 2**16, trees, dtype=np.uint32), keys ^ (rng.integers(0, 2, trees) << rng.integers(0, 16, trees)).astype(np.uint32))
+            rows.append((2 * len(rows) + 1, size + int(rng.integers(0, 12)), np.concatenate([check ^ np.uint32(rng.integers(0, 2**12)), some]).astype("<u4")))
+
+    def linked(x, y):
+        near = any(bin(int(a ^ b)).count("1") <= 1 for a, b in zip(x[2][4:], y[2][4:]))
+        off = sum(bin(int(a ^ b)).count("1") for a, b in zip(x[2][:4], y[2][:4]))
+        return near and off <= N.MAX_OFF and 5 * min(x[1], y[1]) >= 4 * max(x[1], y[1])
+
+    want = _components([r[0] for r in rows], [(x[0], y[0]) for i, x in enumerate(rows) for y in rows[:i] if linked(x, y)])
+    assert 50 < sum(k != v for k, v in want.items())
+    classes = spark.createDataFrame([(r, n, s.tobytes()) for r, n, s in rows], "rep long, size long, sketch binary").repartition(3)
+    edges = [(e.a, e.b) for e in N.candidates(classes).collect()]
+    assert _components([r[0] for r in rows], edges) == want
+
+
+def test_short_texts(docs_of):
+    """Four shingles of five, five of six and eight of nine and ten are near; three of four aren't."""
+    rows = []
+    for i in range(40):
+        for n, m in (7, 8), (8, 9), (9, 10), (12, 14):
+            words = [f"x{i}-{n}-{j}" for j in range(m)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:n]))]
+    sets = [(d, _set(t)) for d, t in rows]
+    want = _components([d for d, _ in rows], [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if _near(x, y)])
+    assert len(set(want.values())) == 40 * 5
+    assert {r.doc_id: r.component_id for r in N.near_copies(docs_of(rows)).collect()} == want
