@@ -158,3 +158,34 @@ def test_the_prompt_is_the_same_as_a_column(spark):
     rows = _misses(spark, 3).withColumn("body_text", enrich.F.lit("é " * 500))
     got = rows.select("title", "body_text", "game", enrich.prompt(*(enrich.F.col(c) for c in ("title", "body_text", "game"))).alias("p")).collect()
     assert all(r.p == providers.instruction(r.title, r.body_text, r.game) for r in got)
+
+
+def test_a_round_has_many_rows_and_nothing_shared_is_not_gathered():
+    """Gathering takes about a second in Spark, so it may not be done for each row."""
+
+    class Some:
+        def answer(self, title, *row):
+            n = int(title.split()[-1])
+            if n % 6 == 2:
+                raise RuntimeError("lost")
+            if n % 50 == 0:
+                raise providers.BadOutput("none")
+            return GOOD
+
+    def asked(model):
+        gathered = []
+        out = dict(asking.ask_together(iter(_rows(1, 2_500)[0]), model, 0, lambda text: gathered.append(text) or [text]))
+        assert {pos for pos, raw in out.items() if raw is None} == {n for n in range(2_500) if n % 6 == 2 or n % 50 == 0}
+        return len(gathered)
+
+    assert asked(providers.Fallback(Some())) == 0
+    assert asked(providers.Fallback(Some(), limiter=providers.Limiter(10**9))) < 10
+    # With another provider a bad answer ends the round, as the next one may switch.
+    assert asked(providers.Fallback(Some(), Some(), most_bad=9)) < 250
+
+
+def test_equal_rows_of_a_round_are_asked_once(tmp_path):
+    row, seen = ("title", "body", "en", "g", "media"), []
+    model = providers.Fallback(Timed(Clock(), seen), limiter=providers.Limiter(10**9, clock=Clock()))
+    out = dict(asking.ask_together(iter([(i, row) for i in range(5)]), model, 0, lambda text: [text], asking.Journal(str(tmp_path / "j"))))
+    assert out == dict.fromkeys(range(5), GOOD) and len(seen) == 1
