@@ -134,8 +134,22 @@ def read_form(spark: SparkSession, form: str, feeds: list[tuple[int, Landed]], n
     for k in {k for k, _ in feeds} - set(missing):
         if k not in found or found[k]["bad"] or not found[k]["n"]:
             faults[k] = "unreadable" if k in found and found[k]["bad"] else "empty"
-    numbered = rows.where("x is not null and not bad").withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("file", "row")).cast("long") - 1)
-    return _items(numbered, form, now), faults
+    return _items(_numbered(rows.where("x is not null and not bad")), form, now), faults
+
+
+def _natural(c: Column) -> Column:
+    """Text in whose order the numbers in a name go by value: c1000 comes after c999, as files are numbered by Spark."""
+    return F.regexp_replace(F.regexp_replace(c, "([0-9]+)", "0" * 20 + "$1"), "0*([0-9]{20,})", "$1")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with pos, counting within a feed by the order of its files' names. A task numbers the rows of
+    a file; of a feed only the files' counts come together."""
+    files = rows.groupBy("k", "file").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("k").orderBy(_natural(F.col("file")), "file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = files.select("k", "file", F.coalesce(before, F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("k", "file").orderBy("row"))
+    return rows.join(starts, ["k", "file"]).withColumn("pos", F.col("start") + nth.cast("long") - 1).drop("start")
 
 
 def _items(df: DataFrame, form: str, now: Column) -> DataFrame:
@@ -170,7 +184,9 @@ def _items(df: DataFrame, form: str, now: Column) -> DataFrame:
     both = {c: F.col(c) for c in ("pos", "source", "source_type", "source_subreddit", "game_id")} | fixed | columns
     rows = df.select("k", "most", *[both[f.name].cast(f.dataType).alias(f.name) for f in ITEMS_RAW.fields])
     rows = rows.where(optional_text(F.col("title")).isNotNull() & is_http(F.col("url")))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("k").orderBy("pos"))).where("most is null or _nth <= most")
+    # Rows of feeds without a limit needn't come together.
+    apart = F.when(F.col("most").isNull(), F.col("pos"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("k", apart).orderBy("pos"))).where("most is null or _nth <= most")
     return rows.select("k", *ITEMS_RAW.fieldNames()).withColumn("body_text", strip_html("body_text"))
 
 
